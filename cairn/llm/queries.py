@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import sharding, simhash, sketches
 from .common import documents
 
 
@@ -14,8 +14,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(documents(spark, sf_dir))
 
 
+def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_likeness(documents(spark, sf_dir))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {"op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op10_sketch": op10_sketch}
 
 
 def oracle_sql() -> dict[str, str]:
