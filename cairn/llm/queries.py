@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding, simhash, sketches
+from . import langid, sharding, simhash, sketches
 from .common import documents
 
 
@@ -18,12 +19,19 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_likeness(documents(spark, sf_dir))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(langid.hash_remainder("doc_id", 3) == 1, F.lit(False))
+    found = langid.identify(docs, langid.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "known")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op10_sketch": op10_sketch}
+    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op10_sketch": op10_sketch}
 
 
 def oracle_sql() -> dict[str, str]:
