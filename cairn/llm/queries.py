@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, sharding, simhash, sketches
+from . import bpe, langid, sharding, simhash, sketches
 from .common import documents
 
 
@@ -15,6 +15,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(documents(spark, sf_dir))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, sf_dir), bpe.default_tables(spark), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_likeness(documents(spark, sf_dir))
 
@@ -31,7 +41,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op10_sketch": op10_sketch}
+    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch}
 
 
 def oracle_sql() -> dict[str, str]:
