@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, sharding, simhash, sketches
+from . import bpe, decontamination, langid, pii, sharding, simhash, sketches
 from .common import documents
 
 
@@ -15,6 +15,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(documents(spark, sf_dir), bpe.default_tables(spark), decoded=True)
     return coded.select(
@@ -41,7 +51,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch}
+    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op6_decontamination": op6_decontamination, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch}
 
 
 def oracle_sql() -> dict[str, str]:
