@@ -24,7 +24,7 @@ SIMILARITY = 0.8
 MIN_WORDS = 5
 RECALL = 0.99
 #: Sampled positions per repetition, and tries per item for measuring the chance of a collision.
-SAMPLES = 3
+SAMPLES = 2
 TRIES = 24
 MAX_REPETITIONS = 256
 #: Bytes of benchmark text whose index is sent to the workers at a time; a larger benchmark takes more passes.
@@ -43,43 +43,35 @@ def allowed(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
-def moves(step: int, rep: int, symbols: np.ndarray) -> np.ndarray:
-    """The random bit of each symbol at a step."""
-    salt = np.uint64((step * 0x9E3779B97F4A7C15 + rep * 0xC2B2AE3D27D4EB4F + 1) % 2**64)
-    return (splitmix(symbols.astype(np.uint64) + salt) >> np.uint64(63)).astype(np.int64)
-
-
 class SizeIndex:
-    """Items of one size: bit tables, sampled steps and sorted keys of each repetition."""
+    """Items of one size: the walks' bit tables over the words of these items, sampled steps and sorted keys."""
 
     def __init__(self, n: int, items: np.ndarray, numbers: np.ndarray, similarity: float, recall: float, vocabulary: int):
         self.n, self.items, self.numbers, self.distance = n, items, numbers, allowed(n, similarity)
         #: neighbouring words that a window within the distance shares with its item at least (q-gram lemma, q = 2)
         self.shared = n - 1 - 2 * self.distance
         self.pairs = np.empty(0, dtype=bool)  # which word pairs of the whole index are in items of this size
+        used = np.unique(items)
+        self.local = np.zeros(vocabulary, dtype=np.int32)  # 0 for words of no item of this size
+        self.local[used] = np.arange(1, len(used) + 1)
+        self.end = len(used) + 1  # the symbol behind the last one, where a walk stays
         rng = np.random.default_rng(n)
-        self.steps: list[np.ndarray] = []
-        self.bits: list[np.ndarray] = []
         near = self._perturbed(rng)
-        missed = np.ones(len(near))
-        used = np.unique(items)
-        while len(self.steps) < MAX_REPETITIONS and (not self.steps or missed.mean() > 1 - recall):
-            rep = len(self.steps)
-            self.steps.append(np.sort(rng.choice(2 * n, min(SAMPLES, 2 * n), replace=False)))
-            bits = np.zeros((int(self.steps[-1][-1]) + 1, vocabulary), dtype=np.int8)
-            for j in range(len(bits)):
-                bits[j, used] = moves(j, rep, used)
-                bits[j, 0] = moves(j, rep, np.zeros(1))[0]
-            self.bits.append(bits)
-            if self.distance == 0:
+        steps, missed = 2 * n, np.ones(len(near))
+        self.sampled, self.bits = np.empty((0, min(SAMPLES, steps)), np.int64), np.empty((0, steps, self.end + 1), np.int8)
+        self.sorted_keys: list[tuple[np.ndarray, np.ndarray]] = []
+        lot = 8 if self.distance else 1
+        while len(self.sampled) < MAX_REPETITIONS and missed.mean() > 1 - recall:
+            new = np.array([np.sort(rng.choice(steps, min(SAMPLES, steps), replace=False)) for _ in range(lot)])
+            bits = rng.integers(0, 2, (lot, steps, self.end + 1), dtype=np.int8)
+            bits[:, :, self.end] = 0
+            own = self._walks(items, new, bits)
+            same = self._walks(near, new, bits) == np.repeat(own, len(near) // len(items), axis=1)
+            missed[same.any(axis=0)] = 0
+            self.sampled, self.bits = np.concatenate([self.sampled, new]), np.concatenate([self.bits, bits])
+            self.sorted_keys += [(k[o], o) for k in own for o in [np.argsort(k, kind="stable")]]
+            if not self.distance:
                 break
-            same = self.keys(near, rep) == np.repeat(self.keys(items, rep), len(near) // len(items))
-            missed[same] = 0
-        self.sorted_keys = []
-        for rep in range(len(self.steps)):
-            keys = self.keys(items, rep)
-            order = np.argsort(keys, kind="stable")
-            self.sorted_keys.append((keys[order], order))
 
     def _perturbed(self, rng: np.random.Generator) -> np.ndarray:
         """Copies of the items after `distance` random substitutions, insertions and deletions by strange words."""
@@ -94,18 +86,20 @@ class SizeIndex:
                 out.append((row + [0] * self.n)[: self.n])
         return np.array(out, dtype=np.int64).reshape(-1, self.n)
 
-    def keys(self, windows: np.ndarray, rep: int) -> np.ndarray:
-        """Hash of the sampled symbols of each window's walk."""
-        rows = np.arange(len(windows))
-        at = np.zeros(len(windows), dtype=np.int64)
-        key = np.zeros(len(windows), dtype=np.uint64)
-        bits, sampled = self.bits[rep], set(self.steps[rep].tolist())
-        for j in range(len(bits)):
-            inside = at < self.n
-            s = np.where(inside, windows[rows, np.minimum(at, self.n - 1)], -1)
-            if j in sampled:
-                key = splitmix(key * np.uint64(3) + (s + 2).astype(np.uint64))
-            at += bits[j][np.maximum(s, 0)]
+    def _walks(self, windows: np.ndarray, sampled: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """(repetitions, windows): hash of the sampled symbols of each window's walk."""
+        reps, steps, symbols = bits.shape
+        rows = np.concatenate([self.local[windows], np.full((len(windows), 1), self.end, np.int32)], axis=1).ravel()
+        base = np.arange(len(windows))[None, :] * (self.n + 1)
+        at = np.zeros((reps, len(windows)), dtype=np.int64)
+        key = np.zeros((reps, len(windows)), dtype=np.uint64)
+        for j in range(int(sampled.max()) + 1):
+            s = rows[base + at]
+            here = np.flatnonzero((sampled == j).any(axis=1))
+            if len(here):
+                key[here] = splitmix(key[here] * np.uint64(3) + (s[here] + 2).astype(np.uint64))
+            for r in range(reps):
+                at[r] += bits[r, j][s[r]]
         return key
 
     def starts(self, places: np.ndarray) -> np.ndarray:
@@ -122,8 +116,7 @@ class SizeIndex:
     def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item) that collide in a repetition."""
         found = []
-        for rep, (keys, order) in enumerate(self.sorted_keys):
-            own = self.keys(windows, rep)
+        for own, (keys, order) in zip(self._walks(windows, self.sampled, self.bits), self.sorted_keys):
             lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             w = np.repeat(np.arange(len(own)), hi - lo)
             nth = np.arange(len(w)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
@@ -199,8 +192,8 @@ class BenchmarkIndex:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for s in self.sizes:
             at = s.starts(places[s.pairs[pairs]])
-            for k in range(0, len(at), 20_000):
-                starts = at[k : k + 20_000]
+            for k in range(0, len(at), 5_000):
+                starts = at[k : k + 5_000]
                 owner = np.searchsorted(begins, starts, "right") - 1
                 left = begins[owner] + lengths[owner] - starts  # words from here to the text's end
                 fits = left >= s.n - s.distance
