@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, pii, sharding, simhash, sketches
+from . import bpe, decontamination, langid, pii, sharding, simhash, sketches, suffixdedup
 from .common import documents
 
 
@@ -25,6 +25,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixdedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(documents(spark, sf_dir), bpe.default_tables(spark), decoded=True)
     return coded.select(
@@ -51,7 +56,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op6_decontamination": op6_decontamination, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch}
+    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op6_decontamination": op6_decontamination, "op7_suffix": op7_suffix, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch}
 
 
 def oracle_sql() -> dict[str, str]:
