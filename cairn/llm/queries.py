@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, pii, sharding, simhash, sketches, suffixdedup
+from . import bpe, decontamination, langid, lm, pii, sharding, simhash, sketches, suffixdedup
 from .common import documents
 
 
@@ -51,12 +51,19 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "known")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(langid.hash_remainder("doc_id", 10) == 0, F.lit(False))
+    scored = lm.score(docs, lm.fit(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", lm.perplexity().alias("perplexity"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op6_decontamination": op6_decontamination, "op7_suffix": op7_suffix, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch}
+    return {"op1_langid": op1_langid, "op2_kneser_ney": op2_kneser_ney, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op6_decontamination": op6_decontamination, "op7_suffix": op7_suffix, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch}
 
 
 def oracle_sql() -> dict[str, str]:
