@@ -130,9 +130,10 @@ def local_path(folder: str, name: str) -> str:
     key = f"{folder}/{name}"
     if key not in _FETCHED:
         target = os.path.join(tempfile.mkdtemp(), name)
-        with store.open_input_stream(f"{path}/{name}") as source, open(target, "wb") as out:
-            while chunk := source.read(1 << 22):
-                out.write(chunk)
+        if store.get_file_info(f"{path}/{name}").type == pafs.FileType.File:  # a partition without rows has none
+            with store.open_input_stream(f"{path}/{name}") as source, open(target, "wb") as out:
+                while chunk := source.read(1 << 22):
+                    out.write(chunk)
         _FETCHED[key] = target
     return _FETCHED[key]
 

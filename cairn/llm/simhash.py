@@ -272,3 +272,162 @@ def near_duplicate_classes(
     named = classed.join(heads, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return signed.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: wide fingerprints, bit-sampled routes to Gray-order indexes, exact Jaccard at the end.
+
+#: Fingerprint words of 64 bits, and the fewest sampled bits of a route; with more texts the bits grow as their logarithm.
+WIDE = 4
+ROUTE_BITS = 16
+ROUTE_RECALL = 0.95
+#: Standard deviations above the mean distance at the similarity that still count as near.
+SLACK = 3.0
+#: In a group over LEAF entries a member keeps its so many nearest earlier ones, beside the earliest.
+NEAREST = 3
+
+
+def bit_difference(similarity: float) -> float:
+    """Expected share of differing bits of two sets with this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def route_plan(texts: int, similarity: float) -> np.ndarray:
+    """(tables, bits): which fingerprint bits make the key of each table, so that a pair meets with ROUTE_RECALL."""
+    bits = max(ROUTE_BITS, int(np.ceil(np.log2(max(2, texts)))) - 3)
+    meet = (1 - bit_difference(similarity)) ** bits
+    tables = int(np.ceil(np.log(1 - ROUTE_RECALL) / np.log(1 - meet)))
+    rng = np.random.default_rng(bits)
+    return np.array([np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(tables)])
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, same, f0.., grams): a hash of the word sequence, the fingerprint words and the sorted shingle hashes."""
+    source = small_batches(id_text(docs, id_col, text_col))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "same", *(f"f{k}" for k in range(WIDE)), "grams"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [ascii_words(t) for t in b.column("text").to_pylist()]
+            same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
+            hashes = [np.array(shingle_hashes(w, width), dtype=np.uint64) for w in words]
+            counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
+            flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            wide = [majority_bits(flat if k == 0 else splitmix(flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), counts) for k in range(WIDE)]
+            grams = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same.view(np.int64)), *(pa.array(x.view(np.int64)) for x in wide), pa.array(grams, pa.binary())], names=names)
+
+    return source.mapInArrow(run, f"doc_id {kind}, same bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", grams binary")
+
+
+def candidate_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: texts whose wide fingerprints are near.
+
+    `texts` has a row (same, f0..) per distinct text.  In a group of up to LEAF entries all near pairs are kept; in a
+    larger one every member keeps its nearest earlier members and the earliest near one, which tie a group of near
+    copies together without listing all its pairs.
+    """
+    plan = route_plan(texts.count(), similarity)
+    share = bit_difference(similarity)
+    radius = int(64 * WIDE * share + SLACK * np.sqrt(64 * WIDE * share * (1 - share)))
+    words = [f"f{k}" for k in range(WIDE)]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.uint64(1) << np.arange(plan.shape[1], dtype=np.uint64)
+        for b in batches:
+            columns = [b.column(c).to_numpy() for c in ("same", *words)]
+            bits = np.unpackbits(np.stack(columns[1:], axis=1).view(np.uint8), axis=1, bitorder="little")
+            for t, chosen in enumerate(plan):
+                key = splitmix((bits[:, chosen].astype(np.uint64) * place).sum(axis=1, dtype=np.uint64) + np.uint64(t << 48))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, columns)], names=["route", "same", *words])
+
+    routed = texts.select("same", *words).mapInArrow(route, "route bigint, same bigint, " + ", ".join(f"{w} bigint" for w in words))
+    routed = routed.repartition("route").withColumn("rank", gray_rank(F.col("f0"))).sortWithinPartitions("route", "rank").drop("rank")
+
+    def near(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        group = np.cumsum(np.r_[True, table[1:, 0] != table[:-1, 0]])
+        rows = np.ascontiguousarray(table[:, 2:]).view(np.uint64)
+        sizes = np.bincount(group)[group]
+        small = np.flatnonzero(sizes <= LEAF)
+        for i, j in group_links(rows[small], group[small], radius):
+            yield table[small[i], 1], table[small[j], 1]
+        for g in np.unique(group[sizes > LEAF]).tolist():
+            at = np.flatnonzero(group == g)
+            at = at[np.argsort(table[at, 1], kind="stable")]  # earlier: of smaller hash
+            order = at[np.argsort([int(r) for r in at])]
+            index, rank = GrayIndex(rows[order]), np.argsort(np.argsort(table[order, 1], kind="stable"), kind="stable")
+            for q0 in range(0, len(order), 256):
+                q, r = index.search(rows[order[q0 : q0 + 256]], radius)
+                q = q + q0
+                ok = rank[r] < rank[q]
+                q, r = q[ok], r[ok]
+                d = np.bitwise_count(rows[order[q]] ^ rows[order[r]]).sum(axis=1, dtype=np.int64)
+                by = np.lexsort((rank[r], d, q))
+                nth = np.arange(len(by)) - np.maximum.accumulate(np.where(np.r_[True, q[by][1:] != q[by][:-1]], np.arange(len(by)), 0)) if len(by) else by
+                first = np.lexsort((rank[r], q))
+                first = first[np.r_[True, q[first][1:] != q[first][:-1]]] if len(first) else first
+                keep = np.union1d(by[nth < NEAREST], first)
+                if len(keep):
+                    yield table[order[q[keep]], 1], table[order[r[keep]], 1]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in near(table):
+                got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                got = got[got[:, 0] != got[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            table = np.stack([batch.column(c).to_numpy() for c in ("route", "same", *words)], axis=1)
+            if not len(table):
+                continue
+            last = np.flatnonzero(table[:, 0] != table[-1, 0])
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at == 0 and (not held or held[0][0, 0] == table[0, 0]):
+                held.append(table)
+                continue
+            yield from out(np.concatenate([*held, table[:at]]))
+            held = [table[at:]]
+        if held:
+            yield from out(np.concatenate(held))
+
+    return routed.mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity): the pairs whose shingle sets really are so similar."""
+    grams = texts.select("same", "grams")
+    both = pairs.join(grams.select(F.col("same").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("same").alias("b"), F.col("grams").alias("gb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
+
+    return both.mapInArrow(run, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similarity)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, all columns, with one document of each group of near copies: that of the smallest id.
+
+    Groups are what links of `similarity` or more between sets of `width`-word shingles connect; texts with the same
+    words are always one group, and so are all null, empty and wordless texts.  Rows of the same id and words stay or go
+    together; rows with a null id stay.
+    """
+    prints = cut(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width))
+    words = [f"f{k}" for k in range(WIDE)]
+    texts = prints.groupBy("same").agg(F.min("doc_id").alias("lead"), *[F.first(c).alias(c) for c in [*words, "grams"]])
+    pairs = cut(candidate_pairs(texts, similarity))
+    roots = connected_components(similar_pairs(pairs, texts, similarity))
+    leads = prints.groupBy("same").agg(F.min("doc_id").alias("lead"))
+    classed = leads.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("root", "same").alias("root"), "lead")
+    heads = classed.groupBy("root").agg(F.min("lead").alias("head"))
+    headed = classed.join(heads, "root").select("same", "head")
+    gone = prints.select("doc_id", "same").join(headed, "same").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(cut(gone), id_col, "left_anti").select(docs.columns)
