@@ -7,6 +7,7 @@ a renderer emits the rest with block spacing, list markers and aligned table cel
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -327,6 +328,7 @@ def visible_text(html: str | None) -> str:
     """All text that a browser would show, laid out in lines; '' for null and empty pages."""
     if not html:
         return ""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
@@ -343,9 +345,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     kind = source.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array([visible_text(h) for h in b.column("html").to_pylist()], pa.string())], names=["page_id", "text"])
 
