@@ -1 +1 @@
-"""Part of the confidence-graph engine."""
+"""Streams over the engine's logs."""
