@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.plans.checkpoint import cut, ensure_checkpoint_dir  # noqa: F401
+
 #: Rows of an Arrow batch sent to Python: keeps a batch of whole texts to a few MB.
 ARROW_ROWS = 1000
 
@@ -25,21 +27,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (local tests)."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder; smaller than a checkpoint, and pruned when read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, splitmix
+from .common import cut, small_batches, splitmix, written
 
 LENGTH = 100
 GRAM = 32
 #: Bytes of text that a worker handles together, and bytes of family contents that are sorted together.
 LOT_BYTES = 4 << 20
-SORT_BYTES = 8 << 20
+SORT_BYTES = 1 << 20
 #: Records of different content beyond which a family is settled window by window, over the whole cluster.
 FAMILY_LIMIT = 20_000
 
@@ -102,7 +102,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def salt(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data) >> (64 - _SALT)
+    """As salted_docs has it."""
+    return xxhash.xxh64_intdigest(data, 42) >> (64 - _SALT)
 
 
 _SCHEMA = pa.schema([("family", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("size", pa.int64())])
@@ -217,34 +218,27 @@ def previous_factors(data: np.ndarray, order: np.ndarray, valid: np.ndarray) ->
     return out
 
 
-def with_contents(needs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(family, hot, doc, place, bytes): the records' bytes, fetched in one join with the texts."""
-    sizes = needs.groupBy("family").agg((F.count("*") > FAMILY_LIMIT).alias("hot"))
-    flagged = needs.join(sizes, "family")
-    per_doc = flagged.groupBy("doc", F.shiftright("place", _PLACE).alias("salt")).agg(F.collect_list(F.struct("family", "hot", "place", "size")).alias("wanted"))
+def with_contents(needs: DataFrame, salted: DataFrame) -> DataFrame:
+    """(family, doc, place, bytes): the records' bytes, fetched in one join with the texts."""
+    per_doc = needs.groupBy("doc", F.shiftright("place", _PLACE).alias("salt")).agg(F.collect_list(F.struct("family", "place", "size")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fam, hot, doc, plc, got = [], [], [], [], []
+            fam, doc, plc, got = [], [], [], []
             for d, s, text, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "salt", "text", "wanted"))):
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     at = w["place"] - (s << _PLACE)
-                    fam.append(w["family"]), hot.append(w["hot"]), doc.append(d), plc.append(w["place"]), got.append(data[at : at + w["size"]])
-            yield pa.RecordBatch.from_arrays([pa.array(fam, pa.int64()), pa.array(hot, pa.bool_()), pa.array(doc, pa.int64()), pa.array(plc, pa.int64()), pa.array(got, pa.binary())], names=["family", "hot", "doc", "place", "bytes"])
+                    fam.append(w["family"]), doc.append(d), plc.append(w["place"]), got.append(data[at : at + w["size"]])
+            yield pa.RecordBatch.from_arrays([pa.array(fam, pa.int64()), pa.array(doc, pa.int64()), pa.array(plc, pa.int64()), pa.array(got, pa.binary())], names=["family", "doc", "place", "bytes"])
 
-    salted = salted_docs(docs)
     joined = salted.join(per_doc.withColumnRenamed("doc", "doc_id"), ["doc_id", "salt"])
-    return small_batches(joined.select("doc_id", "salt", "text", "wanted")).mapInArrow(run, "family bigint, hot boolean, doc bigint, place bigint, bytes binary")
+    return joined.select("doc_id", "salt", "text", "wanted").mapInArrow(run, "family bigint, doc bigint, place bigint, bytes binary")
 
 
 def salted_docs(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            salts = [salt(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(salts, pa.int64()), b.column("text")], names=["doc_id", "salt", "text"])
-
-    return docs.mapInArrow(run, "doc_id bigint, salt bigint, text string")
+    """Texts with their salt, by DataFrame functions only: both joins with the texts then share one exchange."""
+    return docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 64 - _SALT).alias("salt"), "text")
 
 
 _RANGE = "doc bigint, place bigint, size bigint"
@@ -252,7 +246,7 @@ _RANGE = "doc bigint, place bigint, size bigint"
 
 def sorted_families(contents: DataFrame) -> DataFrame:
     """Ranges that go within families, by suffix order."""
-    rows = contents.where(~F.col("hot")).repartition("family").sortWithinPartitions("family").select("family", "doc", "place", "bytes")
+    rows = contents.repartition("family").sortWithinPartitions("family").select("family", "doc", "place", "bytes")
 
     def settle(fam: np.ndarray, doc: np.ndarray, plc: np.ndarray, got: list[bytes]) -> pa.RecordBatch:
         rank = np.empty(len(doc), np.int64)
@@ -302,20 +296,24 @@ def hot_families(contents: DataFrame) -> DataFrame:
                     key.append(xxhash.xxh128_digest(data[i : i + LENGTH])), doc.append(d), plc.append(p + i)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(plc, pa.int64())], names=["key", "doc", "place"])
 
-    windows = contents.where("hot").mapInArrow(run, "key binary, doc bigint, place bigint")
+    windows = contents.mapInArrow(run, "key binary, doc bigint, place bigint")
     first = windows.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("first"))
     later = windows.join(first, "key").where(F.struct("doc", "place") > F.col("first"))
     return later.select("doc", "place", F.lit(LENGTH).cast("bigint").alias("size"))
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
+def removed_ranges(docs: DataFrame, salted: DataFrame) -> DataFrame:
     """(doc, salt, ranges array<struct<a, z>>) of all texts with something to remove."""
-    both = cut(settled(filed(docs)))
+    both = written(settled(filed(docs)))
     known = both.where("size < 0").select("doc", "place", (-F.col("size")).alias("size"))
-    contents = cut(with_contents(both.where("size > 0").select("family", "doc", "place", "size"), docs))
-    gone = known.unionByName(sorted_families(contents))
-    if not contents.where("hot").isEmpty():
-        gone = gone.unionByName(hot_families(contents))
+    needs = both.where("size > 0").select("family", "doc", "place", "size")
+    large = cut(needs.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_LIMIT).select("family"))
+    if large.isEmpty():
+        gone = known.unionByName(sorted_families(with_contents(needs, salted)))
+    else:
+        small = with_contents(needs.join(large, "family", "left_anti"), salted)
+        hot = with_contents(needs.join(large, "family", "left_semi"), salted)
+        gone = known.unionByName(sorted_families(small)).unionByName(hot_families(hot))
     base = F.shiftright("place", _PLACE)
     start = F.col("place") - F.shiftleft(base, _PLACE)
     return gone.groupBy("doc", base.alias("salt")).agg(F.collect_list(F.struct(start.alias("a"), (start + F.col("size")).alias("z"))).alias("ranges"))
@@ -339,8 +337,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are ordered by a hash of the text; extra columns are ignored.
     """
     source = small_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    ranges = cut(removed_ranges(source.where("doc_id is not null")))
-    joined = salted_docs(source).join(ranges.withColumnRenamed("doc", "doc_id"), ["doc_id", "salt"], "left")
+    salted = salted_docs(source)
+    ranges = removed_ranges(source.where("doc_id is not null"), salted)
+    joined = salted.join(ranges.withColumnRenamed("doc", "doc_id"), ["doc_id", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
