@@ -155,7 +155,7 @@ def vote_context(kind: str, text: str, a: int, b: int) -> int:
     left, right = _around(text, a, b)
     if left[-1:].isalnum() or right[:1].isalnum():
         return -1
-    return 1 if left[-1:] in ("", " ", "\n", '"', "'", ":", "=", "(", "<") else 0
+    return 1 if left.rstrip(" ")[-1:] in ('"', "'", ":", "=", "#", "<") else 0
 
 
 def vote_shape(kind: str, text: str, a: int, b: int) -> int:
@@ -163,7 +163,7 @@ def vote_shape(kind: str, text: str, a: int, b: int) -> int:
     if kind == "secret":
         return 1 if len(set(s)) >= min(10, len(s) // 2) else -1
     digits = [c for c in s if c.isdigit()]
-    return -1 if len(set(digits)) <= 2 else 1 if kind in ("nationalid", "contact") else 0
+    return -1 if len(set(digits)) <= 2 else 0
 
 
 LABELERS = (vote_pattern, vote_gazetteer, vote_context, vote_shape)

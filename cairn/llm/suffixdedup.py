@@ -135,8 +135,13 @@ def filed(docs: DataFrame) -> DataFrame:
                 continue
             fam, con, doc, plc, siz = (np.concatenate(x) for x in (fam, con, doc, plc, siz))
             o = np.lexsort((plc, doc, con))
+            again = np.r_[False, (con[o[1:]] == con[o[:-1]]) & (fam[o[1:]] == fam[o[:-1]])]
+            first = o[np.maximum.accumulate(np.where(again, 0, np.arange(len(o))))]
+            twice = again & (doc[o] == doc[first]) & (plc[o] == plc[first])  # the same row of the table once more
             later = np.zeros(len(o), dtype=bool)
-            later[o[1:]] = (con[o[1:]] == con[o[:-1]]) & (fam[o[1:]] == fam[o[:-1]])
+            later[o[again & ~twice]] = True
+            once = np.ones(len(o), dtype=bool)
+            once[o[twice]] = False
             d, p, n = doc[later], plc[later], siz[later]
             if len(d):
                 key = np.lexsort((p, d))
@@ -145,7 +150,7 @@ def filed(docs: DataFrame) -> DataFrame:
                 for x, y in zip(cuts, [*cuts[1:], len(d)]):
                     a, z = merged(p[x:y], p[x:y] + n[x:y])
                     yield pa.RecordBatch.from_arrays([pa.array(splitmix((a ^ d[x]).view(np.uint64)).view(np.int64)), pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), d[x])), pa.array(a), pa.array(a - z)], schema=_SCHEMA)
-            k = ~later
+            k = ~later & once
             yield pa.RecordBatch.from_arrays([pa.array(fam[k].view(np.int64)), pa.array(con[k].view(np.int64)), pa.array(doc[k]), pa.array(plc[k]), pa.array(siz[k])], schema=_SCHEMA)
 
     return docs.mapInArrow(run, _DDL)
@@ -181,7 +186,9 @@ def settled(filed_rows: DataFrame) -> DataFrame:
                 told = bool(need[-1]) or (len(firsts) == 1 and told)
             else:
                 told = bool(need[-1])
-            gone = with_held[again].copy()
+            first = with_held[np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))]
+            twice = (with_held[:, 2] == first[:, 2]) & (with_held[:, 3] == first[:, 3])  # the same row once more
+            gone = with_held[again & ~twice].copy()
             gone[:, 4] *= -1
             both = np.concatenate([firsts[out], gone])
             # an emitted held row counts again for its family, so the row after it is seen as one of several
