@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,16 @@ from .checkpoint import cut
 BROADCAST_ROWS = 100_000
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows that every round reads, computed once; lost blocks are computed again from the input."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def frontier(df: DataFrame, rows: int) -> DataFrame:
     """The frontier with a broadcast hint where its counted size is small."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -23,20 +37,20 @@ def best_products(edges: DataFrame, seeds: DataFrame, attenuation: float = 1.0,
     dropped below the threshold.  Only rows that improved go on, so the work follows the changes, and the least upper
     bound is unique on cyclic graphs too.  Zero scores are kept but lead nowhere.
     """
-    steps = edges.select(F.col("src").alias("node"), "dst", (F.col("c") * F.lit(float(attenuation))).alias("c"))
     best = cut(seeds.groupBy("root", "node").agg(F.max("score").alias("score")))
     delta, hop = best, 0
     rows = delta.count()
-    while rows and (max_hops is None or hop < max_hops):
-        moved = frontier(delta.where("score > 0"), rows).join(steps, "node")
-        cand = moved.select("root", F.col("dst").alias("node"), F.least(F.lit(1.0), F.col("score") * F.col("c")).alias("score")).where(F.col("score") >= threshold)
-        cand = cand.groupBy("root", "node").agg(F.max("score").alias("score"))
-        old = best.withColumnRenamed("score", "old")
-        delta = cut(cand.join(old, ["root", "node"], "left").where("old is null or score > old").select("root", "node", "score"))
-        rows = delta.count()
-        if rows:
-            best = cut(best.unionByName(delta).groupBy("root", "node").agg(F.max("score").alias("score")))
-        hop += 1
+    with kept(edges.select(F.col("src").alias("node"), "dst", (F.col("c") * F.lit(float(attenuation))).alias("c"))) as steps:
+        while rows and (max_hops is None or hop < max_hops):
+            moved = frontier(delta.where("score > 0"), rows).join(steps, "node")
+            cand = moved.select("root", F.col("dst").alias("node"), F.least(F.lit(1.0), F.col("score") * F.col("c")).alias("score")).where(F.col("score") >= threshold)
+            cand = cand.groupBy("root", "node").agg(F.max("score").alias("score"))
+            old = best.withColumnRenamed("score", "old")
+            delta = cut(cand.join(old, ["root", "node"], "left").where("old is null or score > old").select("root", "node", "score"))
+            rows = delta.count()
+            if rows:
+                best = cut(best.unionByName(delta).groupBy("root", "node").agg(F.max("score").alias("score")))
+            hop += 1
     return best
 
 
@@ -46,22 +60,22 @@ def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int, min_confid
     A node is visited at its first hop; of several arrivals the one with the largest product and then the smallest
     parent counts.  Arrivals under the least confidence are pruned and don't mark the node as visited.
     """
-    steps = edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "c")
     start = roots.select(F.col("node").alias("root"), "node").distinct()
     visited = cut(start.select("root", "node", F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("path")))
     delta, rows = visited, visited.count()
-    for hop in range(1, max_depth + 1):
-        if not rows:
-            break
-        front = delta.select("root", F.col("node").alias("parent"), F.col("confidence").alias("upto"), F.col("path").alias("way"))
-        cand = frontier(front, rows).join(steps, "parent").withColumn("confidence", F.col("upto") * F.col("c")).where(F.col("confidence") >= min_confidence)
-        fresh = cand.join(visited.select("root", "node"), ["root", "node"], "left_anti")
-        order = Window.partitionBy("root", "node").orderBy(F.col("confidence").desc(), "parent")
-        first = fresh.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-        delta = cut(first.select("root", "node", F.lit(hop).alias("hop"), "confidence", "parent", F.concat("way", F.array("node")).alias("path")))
-        rows = delta.count()
-        if rows:
-            visited = visited.unionByName(delta)
+    with kept(edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "c")) as steps:
+        for hop in range(1, max_depth + 1):
+            if not rows:
+                break
+            front = delta.select("root", F.col("node").alias("parent"), F.col("confidence").alias("upto"), F.col("path").alias("way"))
+            cand = frontier(front, rows).join(steps, "parent").withColumn("confidence", F.col("upto") * F.col("c")).where(F.col("confidence") >= min_confidence)
+            fresh = cand.join(visited.select("root", "node"), ["root", "node"], "left_anti")
+            order = Window.partitionBy("root", "node").orderBy(F.col("confidence").desc(), "parent")
+            first = fresh.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+            delta = cut(first.select("root", "node", F.lit(hop).alias("hop"), "confidence", "parent", F.concat("way", F.array("node")).alias("path")))
+            rows = delta.count()
+            if rows:
+                visited = visited.unionByName(delta)
     return visited
 
 
@@ -70,7 +84,7 @@ def longest_levels(edges: DataFrame, roots: DataFrame, max_levels: int = 1000) -
 
     Topological order is the order of (level, node).  The cycle guard is the number of reached nodes.
     """
-    reached = breadth_first(edges.select("src", "dst", F.lit(1.0).alias("c")), roots.withColumn("one", F.lit(1)).select("node"), max_levels)
+    reached = breadth_first(edges.select("src", "dst", F.lit(1.0).alias("c")), roots.select("node"), max_levels)
     first = cut(reached.groupBy("node").agg(F.min("hop").alias("first")))
     inner = cut(edges.join(first.select(F.col("node").alias("src")), "src").join(first.select(F.col("node").alias("dst")), "dst").where("src <> dst").select("src", "dst").distinct())
     level = cut(first.join(inner.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).alias("level")))
