@@ -18,7 +18,6 @@ from cairn.functions.confidence import clamp
 
 from .chain import ChainWriter
 from .graph import Graph
-from .resolve import siblings
 from .stats import graph_density
 
 # Parameters, their defaults and bounds.
@@ -36,9 +35,10 @@ def sampled_symbols(graph: Graph) -> DataFrame:
 def impact_accuracy(graph: Graph, params: dict[str, float]) -> float:
     """Mean score that siblings of the sampled symbols get from their common parent, all parents in one loop."""
     picked = sampled_symbols(graph)
-    held = graph.edges.where("relation = 'Contains'").select(F.col("source").alias("root"), F.col("target").alias("node")).join(picked, "node")
+    contains = graph.edges.where("relation = 'Contains'").select(F.col("source").alias("root"), F.col("target").alias("sibling"))
+    held = contains.withColumnRenamed("sibling", "node").join(F.broadcast(picked), "node")  # the sample's few rows
     scores = graph.attenuated(held.select(F.col("root").alias("node")).distinct(), params["attenuation_factor"], params["confidence_threshold"])
-    pairs = siblings(graph.edges).join(held, "node")
+    pairs = contains.join(held, "root").where("sibling <> node")
     got = pairs.join(scores.select("root", F.col("node").alias("sibling"), "score"), ["root", "sibling"], "left")
     return got.agg(F.avg(clamp(F.coalesce("score", F.lit(0.0))))).first()[0] or 0.0
 

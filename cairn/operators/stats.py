@@ -6,17 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranks around a percentile, as a share of all rows, that are ordered to find it.
+AROUND = 0.002
+
+
 def nearest_percentile(df: DataFrame, value: str, p: float, out: str) -> DataFrame:
     """One row: the value at rank round((n - 1) * p), not interpolated; 0 over no rows.
 
-    Equal values are counted first, so the running count goes over distinct values only.
+    An approximate percentile brackets the rank, exact counts check the bracket, and only the distinct values inside it
+    are ordered.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    v = df.where(F.col(value).isNotNull())
+    n, bracket = v.agg(F.count("*"), F.percentile_approx(value, [max(0.0, p - AROUND), min(1.0, p + AROUND)], 10_000)).first()
+    if not n:
+        return df.sparkSession.createDataFrame([(0.0,)], f"{out} double")
+    rank = int((n - 1) * p + 0.5)
+    below, upto = v.agg(F.count_if(F.col(value) < bracket[0]), F.count_if(F.col(value) <= bracket[1])).first()
+    if below <= rank < upto:
+        v, rank = v.where(F.col(value).between(*bracket)), rank - below
+    counts = v.groupBy(value).agg(F.count("*").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("n").alias("all"))
-    at = F.floor((F.col("all") - 1) * F.lit(p) + 0.5)
-    hit = upto.crossJoin(F.broadcast(total)).where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at))
-    return hit.agg(F.coalesce(F.max(value), F.lit(0.0)).alias(out))
+    return upto.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)).select(F.col(value).cast("double").alias(out))
 
 
 def summary(df: DataFrame, value: str, prefix: str = "") -> DataFrame:
