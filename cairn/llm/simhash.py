@@ -283,8 +283,8 @@ ROUTE_BITS = 16
 ROUTE_RECALL = 0.95
 #: Standard deviations above the mean distance at the similarity that still count as near.
 SLACK = 3.0
-#: In a group over LEAF entries a member keeps its so many nearest earlier ones, beside the earliest.
-NEAREST = 3
+#: In a group over LEAF entries a member is tied to so many of the most central members of its cluster.
+HUBS = 2
 
 
 def bit_difference(similarity: float) -> float:
@@ -324,9 +324,9 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -
 def candidate_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: texts whose wide fingerprints are near.
 
-    `texts` has a row (same, f0..) per distinct text.  In a group of up to LEAF entries all near pairs are kept; in a
-    larger one every member keeps its nearest earlier members and the earliest near one, which tie a group of near
-    copies together without listing all its pairs.
+    `texts` has a row (same, f0..) per distinct text.  In a group of up to LEAF entries all near pairs are kept.  A
+    larger one is covered by clusters, each what the index finds around a leader, and every member is tied to the most
+    central members of its cluster: copies are nearest to what they were copied from.  So a group of m near copies costs and gives about m pairs, not their square.
     """
     plan = route_plan(texts.count(), similarity)
     share = bit_difference(similarity)
@@ -354,22 +354,22 @@ def candidate_pairs(texts: DataFrame, similarity: float) -> DataFrame:
             yield table[small[i], 1], table[small[j], 1]
         for g in np.unique(group[sizes > LEAF]).tolist():
             at = np.flatnonzero(group == g)
-            at = at[np.argsort(table[at, 1], kind="stable")]  # earlier: of smaller hash
-            order = at[np.argsort([int(r) for r in at])]
-            index, rank = GrayIndex(rows[order]), np.argsort(np.argsort(table[order, 1], kind="stable"), kind="stable")
-            for q0 in range(0, len(order), 256):
-                q, r = index.search(rows[order[q0 : q0 + 256]], radius)
-                q = q + q0
-                ok = rank[r] < rank[q]
-                q, r = q[ok], r[ok]
-                d = np.bitwise_count(rows[order[q]] ^ rows[order[r]]).sum(axis=1, dtype=np.int64)
-                by = np.lexsort((rank[r], d, q))
-                nth = np.arange(len(by)) - np.maximum.accumulate(np.where(np.r_[True, q[by][1:] != q[by][:-1]], np.arange(len(by)), 0)) if len(by) else by
-                first = np.lexsort((rank[r], q))
-                first = first[np.r_[True, q[first][1:] != q[first][:-1]]] if len(first) else first
-                keep = np.union1d(by[nth < NEAREST], first)
-                if len(keep):
-                    yield table[order[q[keep]], 1], table[order[r[keep]], 1]
+            own = rows[at]
+            index, open_ = GrayIndex(own), np.ones(len(own), dtype=bool)
+            for i in range(len(own)):
+                if not open_[i]:
+                    continue
+                found = index.search(own[i : i + 1], radius)[1]
+                found = found[open_[found]]
+                open_[found] = False
+                if len(found) < 2:
+                    continue
+                bits = np.unpackbits(own[found].view(np.uint8), axis=1, bitorder="little")
+                centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found), bitorder="little").view(np.uint64)
+                away = np.bitwise_count(own[found] ^ centre).sum(axis=1, dtype=np.int64)
+                for hub in found[np.argsort(away, kind="stable")[:HUBS]].tolist():
+                    ok = found[np.bitwise_count(own[found] ^ own[hub]).sum(axis=1, dtype=np.int64) <= radius]
+                    yield np.full(len(ok), table[at[hub], 1]), table[at[ok], 1]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
