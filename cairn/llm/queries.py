@@ -76,5 +76,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_langid": op1_langid, "op2_kneser_ney": op2_kneser_ney, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix": op7_suffix, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch, "pipeline": pipeline}
 
 
+#: The other operators' results follow from hashes, samples or models that SQL doesn't have.
+OP7_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS p FROM d)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w) WHERE n > 1),
+marked AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS fresh FROM later),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT doc_id, p, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM marked) GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM runs),
+sums AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last FROM runs GROUP BY doc_id),
+parts AS (SELECT c.doc_id, string_agg(substr(d.h, 2 * c.upto + 1, 2 * (c.a - c.upto)), '' ORDER BY c.a) AS s FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(coalesce(parts.s, '') || substr(d.h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN parts ON parts.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_suffix": OP7_SQL}
