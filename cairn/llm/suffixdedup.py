@@ -23,7 +23,7 @@ from .common import cut, small_batches, splitmix, written
 LENGTH = 100
 GRAM = 32
 #: Bytes of text that a worker handles together, and bytes of family contents that are sorted together.
-LOT_BYTES = 4 << 20
+LOT_BYTES = 1 << 20
 SORT_BYTES = 1 << 20
 #: Records of different content beyond which a family is settled window by window, over the whole cluster.
 FAMILY_LIMIT = 20_000
@@ -60,36 +60,38 @@ def minimizers(h: np.ndarray, width: int) -> np.ndarray:
     place = np.full(n, -1, dtype=np.int64)
     starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
     ends = np.r_[starts[1:], n]
-    at = np.arange(n)
-    lead = h[:n] == low  # the window's own first gram
-    for k in range(width):  # mostly one or two rounds: only windows not yet placed go on
-        todo = np.flatnonzero(place[starts] < 0) if k == 0 else todo[place[starts[todo]] < 0]
-        if not len(todo):
-            break
-        hit = h[starts[todo] + k] == low[starts[todo]]
-        place[starts[todo[hit]]] = starts[todo[hit]] + k
+
+    def settle(todo: np.ndarray) -> None:
+        """First hash from each window's start on that is its minimum; mostly few rounds."""
+        for k in range(width):
+            if not len(todo):
+                return
+            hit = h[todo + k] == low[todo]
+            place[todo[hit]] = todo[hit] + k
+            todo = todo[~hit]
+
+    settle(starts)
     place = place[np.repeat(starts, ends - starts)]
-    late = np.flatnonzero(place < at)  # the same minimum again, further right
-    for i in late.tolist():
-        if place[i - 1] >= i:
-            place[i] = place[i - 1]
-        elif lead[i]:
-            place[i] = i
-        else:
-            place[i] = i + int(np.flatnonzero(h[i : i + width] == low[i])[0])
+    settle(np.flatnonzero(place < np.arange(n)))  # the same minimum again, further right
     return place
 
 
-def records(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer hash, first byte, size) of each run of windows with one minimizer."""
-    buf = np.frombuffer(data, np.uint8)
+def records(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, minimizer hash, first byte, size) of each run of windows with one minimizer, texts handled together."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < LENGTH:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return none, none.view(np.uint64), none, none
     h = gram_hashes(buf)
     place = minimizers(h, LENGTH - GRAM + 1)
-    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    ends = np.r_[starts[1:], len(place)]
-    return h[place[starts]], starts, ends - starts + LENGTH - 1
+    begins = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(texts)), lengths)[: len(place)]
+    at = np.flatnonzero(np.arange(len(place)) + LENGTH <= (begins + lengths)[owner])  # windows within one text
+    starts = np.flatnonzero(np.r_[True, (place[at][1:] != place[at][:-1]) | (owner[at][1:] != owner[at][:-1])]) if len(at) else at
+    ends = np.r_[starts[1:], len(at)]
+    first = at[starts]
+    return owner[first], h[place[first]], first - begins[owner[first]], ends - starts + LENGTH - 1
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,18 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], top[np.r_[np.flatnonzero(new)[1:] - 1, len(top) - 1]]
 
 
+def lots(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most LOT_BYTES characters together; a longer text is a lot of its own."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > LOT_BYTES:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
+
+
 def salt(data: bytes) -> int:
     """As salted_docs has it."""
     return xxhash.xxh64_intdigest(data, 42) >> (64 - _SALT)
@@ -117,19 +131,18 @@ def filed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column("doc_id").to_numpy(), b.column("text").to_pylist()
-            order = np.argsort(ids, kind="stable")
             fam, con, doc, plc, siz = [], [], [], [], []
-            for i in order.tolist():
-                data = texts[i].encode("utf-8", "surrogatepass")
-                f, s, n = records(data)
+            digest = xxhash.xxh64_intdigest
+            for i, j in lots(texts):
+                data = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
+                owner, f, s, n = records(data)
                 if not len(f):
                     continue
-                base = salt(data) << _PLACE
-                digest = xxhash.xxh64_intdigest
+                salts = np.fromiter(map(salt, data), np.int64, len(data)) << _PLACE
                 fam.append(f)
-                con.append(np.fromiter((digest(data[a : a + m]) for a, m in zip(s.tolist(), n.tolist())), np.uint64, len(s)))
-                doc.append(np.full(len(s), ids[i]))
-                plc.append(base + s)
+                con.append(np.fromiter((digest(data[o][a : a + m]) for o, a, m in zip(owner.tolist(), s.tolist(), n.tolist())), np.uint64, len(s)))
+                doc.append(ids[i:j][owner])
+                plc.append(salts[owner] + s)
                 siz.append(n)
             if not fam:
                 continue
