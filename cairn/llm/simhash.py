@@ -283,8 +283,10 @@ ROUTE_BITS = 16
 ROUTE_RECALL = 0.95
 #: Standard deviations above the mean distance at the similarity that still count as near.
 SLACK = 3.0
-#: In a group over LEAF entries a member is tied to so many of the most central members of its cluster.
+#: In the first pass a member of a group over LEAF entries is tied to so many of the most central members of its cluster.
 HUBS = 2
+#: Entries that a block of queries may meet in a large group.
+BLOCK_ENTRIES = 2**20
 
 
 def bit_difference(similarity: float) -> float:
@@ -301,6 +303,20 @@ def route_plan(texts: int, similarity: float) -> np.ndarray:
     return np.array([np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(tables)])
 
 
+def route_keys(rows: np.ndarray, plan: np.ndarray) -> Iterator[np.ndarray]:
+    """For each table of the plan the route (uint64) of every row of fingerprint words."""
+    place = np.uint64(1) << np.arange(plan.shape[1], dtype=np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
+    for t, chosen in enumerate(plan):
+        yield splitmix((bits[:, chosen].astype(np.uint64) * place).sum(axis=1, dtype=np.uint64) + np.uint64(t << 48))
+
+
+def near_radius(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which a pair counts as near."""
+    share = bit_difference(similarity)
+    return int(64 * WIDE * share + SLACK * np.sqrt(64 * WIDE * share * (1 - share)))
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, same, f0.., grams): a hash of the word sequence, the fingerprint words and the sorted shingle hashes."""
     source = small_batches(id_text(docs, id_col, text_col))
@@ -321,25 +337,39 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -
     return source.mapInArrow(run, f"doc_id {kind}, same bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", grams binary")
 
 
-def candidate_pairs(texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: texts whose wide fingerprints are near.
+def by_route(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
+    """Tables of whole routes (the first column) from batches that are sorted by it."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        table = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        if not len(table):
+            continue
+        last = np.flatnonzero(table[:, 0] != table[-1, 0])
+        at = int(last[-1]) + 1 if len(last) else 0
+        if at == 0 and (not held or held[0][0, 0] == table[0, 0]):
+            held.append(table)
+            continue
+        yield np.concatenate([*held, table[:at]])
+        held = [table[at:]]
+    if held:
+        yield np.concatenate(held)
+
+
+def candidate_pairs(texts: DataFrame, plan: np.ndarray, radius: int) -> DataFrame:
+    """(a, b, route): pairs a < b of texts whose wide fingerprints are near (route null), and members of large groups (b null).
 
     `texts` has a row (same, f0..) per distinct text.  In a group of up to LEAF entries all near pairs are kept.  A
-    larger one is covered by clusters, each what the index finds around a leader, and every member is tied to the most
-    central members of its cluster: copies are nearest to what they were copied from.  So a group of m near copies costs and gives about m pairs, not their square.
+    larger one is first covered by clusters, each what the index finds around a leader, and every member is tied to the
+    most central members of its cluster: copies are nearest to what they were copied from.  So a group of m near copies
+    is united by about m pairs, not their square; what these do not unite is left to `rest_pairs`, for which the
+    members of the group are given.
     """
-    plan = route_plan(texts.count(), similarity)
-    share = bit_difference(similarity)
-    radius = int(64 * WIDE * share + SLACK * np.sqrt(64 * WIDE * share * (1 - share)))
     words = [f"f{k}" for k in range(WIDE)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.uint64(1) << np.arange(plan.shape[1], dtype=np.uint64)
         for b in batches:
             columns = [b.column(c).to_numpy() for c in ("same", *words)]
-            bits = np.unpackbits(np.stack(columns[1:], axis=1).view(np.uint8), axis=1, bitorder="little")
-            for t, chosen in enumerate(plan):
-                key = splitmix((bits[:, chosen].astype(np.uint64) * place).sum(axis=1, dtype=np.uint64) + np.uint64(t << 48))
+            for key in route_keys(np.stack(columns[1:], axis=1), plan):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, columns)], names=["route", "same", *words])
 
     routed = texts.select("same", *words).mapInArrow(route, "route bigint, same bigint, " + ", ".join(f"{w} bigint" for w in words))
@@ -372,29 +402,68 @@ def candidate_pairs(texts: DataFrame, similarity: float) -> DataFrame:
                     yield np.full(len(ok), table[at[hub], 1]), table[at[ok], 1]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("route", pa.int64())])
+        for table in by_route(batches, ["route", "same", *words]):
             for a, b in near(table):
                 got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 got = got[got[:, 0] != got[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.nulls(len(got), pa.int64())], schema=schema)
+            group = np.cumsum(np.r_[True, table[1:, 0] != table[:-1, 0]])
+            large = table[np.bincount(group)[group] > LEAF]
+            if len(large):
+                yield pa.RecordBatch.from_arrays([pa.array(large[:, 1]), pa.nulls(len(large), pa.int64()), pa.array(large[:, 0])], schema=schema)
 
-        for batch in batches:
-            table = np.stack([batch.column(c).to_numpy() for c in ("route", "same", *words)], axis=1)
-            if not len(table):
-                continue
-            last = np.flatnonzero(table[:, 0] != table[-1, 0])
-            at = int(last[-1]) + 1 if len(last) else 0
-            if at == 0 and (not held or held[0][0, 0] == table[0, 0]):
-                held.append(table)
-                continue
-            yield from out(np.concatenate([*held, table[:at]]))
-            held = [table[at:]]
-        if held:
-            yield from out(np.concatenate(held))
+    return routed.mapInArrow(pairs, "a bigint, b bigint, route bigint").distinct()
+
+
+def rest_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, plan: np.ndarray, radius: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: all near pairs in the large groups that the first pass left in different components.
+
+    `members` has (route, same) of the large groups.  Texts outside the largest component of a group search the whole
+    group, so a family that is united costs nothing more.  A pair is given by the first table in which it meets (where
+    that group is small, the first pass gave it), and only if the numbers of shingles allow the similarity.
+    """
+    words = [f"f{k}" for k in range(WIDE)]
+    names = ["route", "same", *words, "size", "root"]
+    chosen = np.zeros((len(plan), WIDE), dtype=np.uint64)  # the bits of each table
+    for t, bits in enumerate(plan.tolist()):
+        for i in bits:
+            chosen[t, i // 64] |= np.uint64(1 << i % 64)
+    rows = texts.select("same", *words, F.expr("length(grams) div 4").cast("bigint").alias("size"))
+    rows = members.join(rows, "same").join(roots.withColumnRenamed("node", "same"), "same", "left")
+    rows = rows.select("route", "same", *words, "size", F.coalesce("root", "same").alias("root"))
+    rows = rows.repartition("route").withColumn("rank", gray_rank(F.col("f0"))).sortWithinPartitions("route", "rank").drop("rank")
+
+    def near(part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        same, size, root = part[:, 1], part[:, -2], part[:, -1]
+        own = np.ascontiguousarray(part[:, 2 : 2 + WIDE]).view(np.uint64)
+        _, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+        asks = np.flatnonzero(of != counts.argmax())
+        if not len(asks):
+            return
+        asking = np.zeros(len(part), dtype=bool)
+        asking[asks] = True
+        table = next(t for t, key in enumerate(route_keys(own[:1], plan)) if key.view(np.int64)[0] == part[0, 0])
+        index, block = GrayIndex(own), max(1, min(QUERY_BLOCK, BLOCK_ENTRIES // len(part)))
+        for at in range(0, len(asks), block):
+            q, r = index.search(own[asks[at : at + block]], radius)
+            q = asks[at + q]
+            ok = (root[q] != root[r]) & (~asking[r] | (q < r)) & (np.minimum(size[q], size[r]) >= similarity * np.maximum(size[q], size[r]))
+            q, r = q[ok], r[ok]
+            apart = own[q] ^ own[r]
+            fresh = np.ones(len(q), dtype=bool)
+            for mask in chosen[:table]:
+                fresh &= (apart & mask).any(axis=1)
+            if fresh.any():
+                yield same[q[fresh]], same[r[fresh]]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_route(batches, names):
+            for part in np.split(table, np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1):
+                for a, b in near(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return routed.mapInArrow(pairs, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(pairs, "a bigint, b bigint")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -424,8 +493,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = cut(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width))
     words = [f"f{k}" for k in range(WIDE)]
     texts = prints.groupBy("same").agg(F.min("doc_id").alias("lead"), *[F.first(c).alias(c) for c in [*words, "grams"]])
-    pairs = cut(candidate_pairs(texts, similarity))
-    roots = connected_components(similar_pairs(pairs, texts, similarity))
+    plan, radius = route_plan(texts.count(), similarity), near_radius(similarity)
+    first = cut(candidate_pairs(texts, plan, radius))
+    links = cut(similar_pairs(first.where("route is null").select("a", "b"), texts, similarity).select("a", "b"))
+    roots = connected_components(links)
+    members = first.where("route is not null").select("route", F.col("a").alias("same"))
+    if not members.isEmpty():
+        rest = cut(rest_pairs(members, texts, roots, plan, radius, similarity))
+        roots = connected_components(links.unionByName(similar_pairs(rest, texts, similarity).select("a", "b")))
     leads = prints.groupBy("same").agg(F.min("doc_id").alias("lead"))
     classed = leads.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("root", "same").alias("root"), "lead")
     heads = classed.groupBy("root").agg(F.min("lead").alias("head"))

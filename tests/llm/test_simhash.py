@@ -110,3 +110,26 @@ def test_near_copies_keep_one_of_each_group(spark):
     left = [i for i in kept if i in group]
     missed = sum(near(a, b) for a in left for b in left if a < b)
     assert missed <= 2 and None in kept and len(rows) - 3 in kept and len(rows) - 2 not in kept
+
+
+def template_pages(pages, copies, rng):
+    """Pages of one template, about 0.72 alike, and planted copies of some that are about 0.85 alike."""
+    words = [f"word{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+    own = [base + [f"own{p}x{i}" for i in range(22)] for p in range(pages)]
+    planted = [w[:-k] + [f"copy{p}x{i}" for i in range(k)] for p, w in enumerate(own[:copies]) for k in (10 + p % 2,)]
+    return [" ".join(w) for w in own + planted]
+
+
+def test_copies_inside_a_large_family_of_template_pages(spark):
+    pages, copies = 3000, 150
+    rows = list(enumerate(template_pages(pages, copies, random.Random(8))))
+    runs = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    alike = lambda a, b: len(runs[a] & runs[b]) / len(runs[a] | runs[b])
+    assert all(alike(p, pages + p) >= 0.8 for p in range(copies))
+    assert max(alike(0, p) for p in range(1, 50)) < 0.75
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+    left = [p for p in range(copies) if pages + p in kept]
+    assert set(range(pages)) <= kept  # no page goes for a page that is less than 0.8 alike
+    assert len(left) <= 0.1 * copies, len(left)
