@@ -318,10 +318,10 @@ def near_radius(similarity: float) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, same, f0.., grams): a hash of the word sequence, the fingerprint words and the sorted shingle hashes."""
-    source = small_batches(id_text(docs, id_col, text_col))
+    """(doc_id, held, same, f0.., grams): hashes of the text and of its word sequence, the fingerprint words and the sorted shingle hashes."""
+    source = small_batches(id_text(docs, id_col, text_col).withColumn("held", F.xxhash64("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "same", *(f"f{k}" for k in range(WIDE)), "grams"]
+    names = ["doc_id", "held", "same", *(f"f{k}" for k in range(WIDE)), "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,9 +332,9 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -
             flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
             wide = [majority_bits(flat if k == 0 else splitmix(flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), counts) for k in range(WIDE)]
             grams = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hashes]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same.view(np.int64)), *(pa.array(x.view(np.int64)) for x in wide), pa.array(grams, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held"), pa.array(same.view(np.int64)), *(pa.array(x.view(np.int64)) for x in wide), pa.array(grams, pa.binary())], names=names)
 
-    return source.mapInArrow(run, f"doc_id {kind}, same bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", grams binary")
+    return source.mapInArrow(run, f"doc_id {kind}, held bigint, same bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", grams binary")
 
 
 def by_route(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
@@ -488,7 +488,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Groups are what links of `similarity` or more between sets of `width`-word shingles connect; texts with the same
     words are always one group, and so are all null, empty and wordless texts.  Rows of the same id and words stay or go
-    together; rows with a null id stay.
+    together, those of one id with different words are different documents; rows with a null id stay.
     """
     prints = cut(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width))
     words = [f"f{k}" for k in range(WIDE)]
@@ -503,7 +503,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         roots = connected_components(links.unionByName(similar_pairs(rest, texts, similarity).select("a", "b")))
     leads = prints.groupBy("same").agg(F.min("doc_id").alias("lead"))
     classed = leads.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("root", "same").alias("root"), "lead")
-    heads = classed.groupBy("root").agg(F.min("lead").alias("head"))
+    heads = classed.groupBy("root").agg(F.min(F.struct("lead", "same")).alias("head"))
     headed = classed.join(heads, "root").select("same", "head")
-    gone = prints.select("doc_id", "same").join(headed, "same").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(cut(gone), id_col, "left_anti").select(docs.columns)
+    gone = prints.select("doc_id", "held", "same").join(headed, "same").where((F.col("doc_id") != F.col("head.lead")) | (F.col("same") != F.col("head.same")))
+    gone = cut(gone.select(F.col("doc_id").alias("__gone"), "held").distinct())
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["held"]), "left_anti").select(docs.columns)

@@ -133,3 +133,11 @@ def test_copies_inside_a_large_family_of_template_pages(spark):
     left = [p for p in range(copies) if pages + p in kept]
     assert set(range(pages)) <= kept  # no page goes for a page that is less than 0.8 alike
     assert len(left) <= 0.1 * copies, len(left)
+
+
+def test_an_id_on_two_texts_loses_no_text(spark):
+    a, b = "one two three four five six seven", "red orange yellow green blue indigo violet"
+    rows = [(3, b), (5, a), (5, b), (7, a), (9, None), (9, a.upper())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.text) for r in simhash.drop_near_copies(df).collect()}
+    assert got == {(3, b), (5, a), (9, None)}
