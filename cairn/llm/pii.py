@@ -34,7 +34,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Proposals of the added kinds and the words of their gazetteers.
-_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b\s{0,4}[:=]\s{0,4}([\"']?)([A-Za-z0-9+/_=-]{8,256})\1")
+_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b\s{0,4}[:=]\s{0,4}([\"']?)([A-Za-z0-9+/_=-]{8,})\1")
 _NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _CONTACT = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9.-]?[0-9])")
 _COORDINATES = re.compile(r"-?[0-9]{1,2}\.[0-9]{4,8}, ?-?[0-9]{1,3}\.[0-9]{4,8}(?![0-9.])")

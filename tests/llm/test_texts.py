@@ -51,6 +51,13 @@ def test_weak_supervision(spark):
     assert pii.find(df.limit(0), pii.fit(df.limit(0))).count() == 0
 
 
+def test_a_long_secret_is_proposed_whole():
+    value = "a1B2" * 90
+    for text in (f"token = {value} end", f'token = "{value}" end'):
+        at = text.index(value)
+        assert list(pii.proposals(text, pii.base_spans(text))) == [("secret", at, at + len(value))]
+
+
 def test_em_tells_labelers_apart():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.6
