@@ -238,6 +238,8 @@ def topo_levels(spark: Session, sf: str) -> Rows:
 
 
 _SPANS_SQL = "spans AS (SELECT 'order:' || l_orderkey AS address, 's' || (l_orderkey % 7) AS path, min(l_partkey) AS a, min(l_partkey) + count(*) AS z FROM lineitem GROUP BY l_orderkey), hunks AS (SELECT 's' || (p_partkey % 7) AS path, p_partkey AS new_start, p_size AS new_lines FROM part WHERE p_partkey % 100 = 0)"
+#: The same over all parts.
+_ALL_SPANS_SQL = _SPANS_SQL.replace(" WHERE p_partkey % 100 = 0", "")
 
 
 def _spans(spark: Session, sf: str) -> DataFrame:
@@ -246,11 +248,15 @@ def _spans(spark: Session, sf: str) -> DataFrame:
     return g.select(T._id("order", "l_orderkey").alias("address"), F.concat(F.lit("s"), (F.col("l_orderkey") % 7).cast("string")).alias("path"), span.alias("span"))
 
 
-def _hunks(spark: Session, sf: str) -> DataFrame:
-    p = T.table(spark, sf, "part").where("p_partkey % 100 = 0")
+def _all_hunks(spark: Session, sf: str) -> DataFrame:
+    p = T.table(spark, sf, "part")
     return p.select(F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("path"), F.col("p_partkey").alias("new_start"), F.col("p_size").alias("new_lines"))
 
 
+def _hunks(spark: Session, sf: str) -> DataFrame:
+    return _all_hunks(spark, sf).where("new_start % 100 = 0")
+
+
 _OVER = "s.a < h.new_start + h.new_lines AND s.z >= h.new_start"
 
 
@@ -265,6 +271,17 @@ def changed_nodes_any_file(spark: Session, sf: str) -> Rows:
     return changes.changed_nodes(_spans(spark, sf), _hunks(spark, sf))
 
 
+@query(f"WITH {_ALL_SPANS_SQL} SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}")
+def changed_nodes_all(spark: Session, sf: str) -> Rows:
+    s = _spans(spark, sf)
+    return changes.changed_nodes(s, _all_hunks(spark, sf), s)
+
+
+@query(f"WITH {_ALL_SPANS_SQL} SELECT DISTINCT address FROM spans s JOIN hunks h ON {_OVER}")
+def changed_nodes_any_file_all(spark: Session, sf: str) -> Rows:
+    return changes.changed_nodes(_spans(spark, sf), _all_hunks(spark, sf))
+
+
 @query(f"WITH {T.EDGES_SQL}, {_SPANS_SQL}, c AS (SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}) SELECT relation, count(*) AS edges FROM edges WHERE source IN (SELECT address FROM c) OR target IN (SELECT address FROM c) GROUP BY relation")
 def affected_edges(spark: Session, sf: str) -> Rows:
     s = _spans(spark, sf)
@@ -272,6 +289,13 @@ def affected_edges(spark: Session, sf: str) -> Rows:
     return e.groupBy("relation").agg(F.count("*").alias("edges"))
 
 
+@query(f"WITH {T.EDGES_SQL}, {_ALL_SPANS_SQL}, c AS (SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}) SELECT relation, count(*) AS edges FROM edges WHERE source IN (SELECT address FROM c) OR target IN (SELECT address FROM c) GROUP BY relation")
+def affected_edges_all(spark: Session, sf: str) -> Rows:
+    s = _spans(spark, sf)
+    e = changes.affected_edges(T.graph(spark, sf), changes.changed_nodes(s, _all_hunks(spark, sf), s))
+    return e.groupBy("relation").agg(F.count("*").alias("edges"))
+
+
 @query(
     f"""WITH RECURSIVE {T.EDGES_SQL}, {_SPANS_SQL}, c AS (SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}),
     d(node, score, hop) AS (SELECT address, 1.0::DOUBLE, 0 FROM c UNION ALL SELECT e.target, d.score * e.confidence, d.hop + 1 FROM d JOIN edges e ON e.source = d.node WHERE d.hop < 6),
@@ -353,6 +377,15 @@ def identity_edges(spark: Session, sf: str) -> Rows:
     return federation.shared_addresses(c.select(F.col("c_nationkey").alias("repo_ord"), F.concat(F.lit("repo"), F.col("c_nationkey").cast("string")).alias("repo"), I.address_of("c_mktsegment").alias("address")))
 
 
+@query(
+    """WITH held AS (SELECT DISTINCT c_nationkey AS ord, 'repo' || c_nationkey AS repo, sha256(c_mktsegment) AS address FROM customer)
+    SELECT x.address, x.repo AS a, y.repo AS b FROM held x JOIN held y ON x.address = y.address AND x.ord < y.ord"""
+)
+def identity_edges_all(spark: Session, sf: str) -> Rows:
+    c = T.table(spark, sf, "customer")
+    return federation.shared_addresses(c.select(F.col("c_nationkey").alias("repo_ord"), F.concat(F.lit("repo"), F.col("c_nationkey").cast("string")).alias("repo"), I.address_of("c_mktsegment").alias("address")))
+
+
 @query(
     """WITH p AS (SELECT 'r' || n_nationkey AS repo, 'p' || n_nationkey AS package, ['p' || n_regionkey, 'p' || (n_nationkey + 1), 'other'] AS deps FROM nation), w AS (SELECT DISTINCT repo, unnest(deps) AS dep FROM p)
     SELECT sha256(w.repo) AS source, sha256(q.repo) AS target, 'References' AS relation FROM w JOIN p q ON q.package = w.dep WHERE w.repo <> q.repo"""
@@ -409,6 +442,11 @@ def siblings(spark: Session, sf: str) -> Rows:
     return resolve.siblings(T.fused_edges(spark, sf).where(F.col("target").startswith("nation:")))
 
 
+@query(f"WITH {T.EDGES_SQL}, c AS (SELECT source, target FROM edges WHERE relation = 'Contains') SELECT a.target AS node, b.target AS sibling FROM c a JOIN c b ON a.source = b.source AND a.target <> b.target")
+def siblings_all(spark: Session, sf: str) -> Rows:
+    return resolve.siblings(T.fused_edges(spark, sf))
+
+
 @query(
     """WITH o AS (SELECT 'f' || c_custkey AS path, substr(sha256(c_name), 1, 16) AS hash FROM customer WHERE c_custkey % 10 <> 3), n AS (SELECT 'f' || c_custkey AS path, substr(sha256(CASE WHEN c_custkey % 7 = 0 THEN 'new' ELSE c_name END), 1, 16) AS hash FROM customer WHERE c_custkey % 10 <> 4)
     SELECT count(*) FILTER (o.path IS NULL OR n.path IS NULL OR o.hash <> n.hash) = 0 AS is_fresh, count(*) FILTER (o.hash <> n.hash) AS changed, count(*) FILTER (o.path IS NULL) AS added, count(*) FILTER (n.path IS NULL) AS removed FROM o FULL JOIN n ON o.path = n.path"""
@@ -433,6 +471,17 @@ def def_use_earliest(spark: Session, sf: str) -> Rows:
     return resolve.def_use(d, u).select("path", "name", "use_start", "def_start")
 
 
+@query(
+    """WITH d AS (SELECT l_orderkey AS path, l_linestatus AS name, l_partkey AS a, l_partkey + 5 AS z, l_linenumber * 1000000 + l_partkey AS k FROM lineitem), u AS (SELECT DISTINCT l_orderkey AS path, l_linestatus AS name, l_partkey + 100 AS a, l_partkey + 104 AS z FROM lineitem),
+    m AS (SELECT u.path, u.name, u.a AS use_start, d.a AS def_start, row_number() OVER (PARTITION BY u.path, u.name, u.a, u.z ORDER BY d.k) AS r FROM u JOIN d ON u.path = d.path AND u.name = d.name AND u.a > d.z) SELECT path, name, use_start, def_start FROM m WHERE r = 1"""
+)
+def def_use_earliest_all(spark: Session, sf: str) -> Rows:
+    n = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.lit(0).alias("scope"), F.col("l_linestatus").alias("name"), "l_partkey", "l_linenumber")
+    d = n.select("path", "scope", "name", F.col("l_partkey").alias("start_byte"), (F.col("l_partkey") + 5).alias("end_byte"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"))
+    u = n.select("path", "scope", "name", (F.col("l_partkey") + 100).alias("start_byte"), (F.col("l_partkey") + 104).alias("end_byte"))
+    return resolve.def_use(d, u).select("path", "name", "use_start", "def_start")
+
+
 @query(
     f"""WITH {_SYMS}, t AS (SELECT name, max_by(address, path || lpad(ordinal::VARCHAR, 12, '0')) AS address FROM sym GROUP BY name), tr AS (SELECT r.name AS caller, q.name AS callee, r.s_suppkey AS n FROM refs r JOIN refs q ON q.s_suppkey = r.s_suppkey + 1)
     SELECT a.address AS source, b.address AS target, round(least(n / 10, 1), 6) AS confidence FROM tr JOIN t a ON a.name = caller JOIN t b ON b.name = callee"""

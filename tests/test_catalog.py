@@ -28,3 +28,20 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
     assert sorted(tuple(text(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(text, r)) for r in cur.fetchall())
+
+
+WHOLE = ["changed_nodes_all", "changed_nodes_any_file_all", "affected_edges_all", "identity_edges_all", "siblings_all", "def_use_earliest_all"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_query_equals_sql_and_passes_the_sampled_one(spark, name):
+    test_query_equals_sql(spark, name)
+    assert catalog.queries()[name](spark, SF).count() >= catalog.queries()[name[:-4]](spark, SF).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_identity_edges_of_all_customers(spark):
+    held = {(r.c_nationkey, r.c_mktsegment) for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    pairs = {(s, f"repo{a}", f"repo{b}") for a, s in held for b, t in held if s == t and a < b}
+    assert catalog.queries()["identity_edges_all"](spark, SF).count() == len(pairs)
