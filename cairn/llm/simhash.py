@@ -419,7 +419,7 @@ def candidate_pairs(texts: DataFrame, plan: np.ndarray, radius: int) -> DataFram
 def rest_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, plan: np.ndarray, radius: int, similarity: float) -> DataFrame:
     """(a, b), a < b: all near pairs in the large groups that the first pass left in different components.
 
-    `members` has (route, same) of the large groups.  Texts outside the largest component of a group search the whole
+    `members` has (route, same) of the large groups, `texts` (same, f0.., size), the number of shingles.  Texts outside the largest component of a group search the whole
     group, so a family that is united costs nothing more.  A pair is given by the first table in which it meets (where
     that group is small, the first pass gave it), and only if the numbers of shingles allow the similarity.
     """
@@ -429,8 +429,7 @@ def rest_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, plan: np.
     for t, bits in enumerate(plan.tolist()):
         for i in bits:
             chosen[t, i // 64] |= np.uint64(1 << i % 64)
-    rows = texts.select("same", *words, F.expr("length(grams) div 4").cast("bigint").alias("size"))
-    rows = members.join(rows, "same").join(roots.withColumnRenamed("node", "same"), "same", "left")
+    rows = members.join(texts.select("same", *words, "size"), "same").join(roots.withColumnRenamed("node", "same"), "same", "left")
     rows = rows.select("route", "same", *words, "size", F.coalesce("root", "same").alias("root"))
     rows = rows.repartition("route").withColumn("rank", gray_rank(F.col("f0"))).sortWithinPartitions("route", "rank").drop("rank")
 
@@ -492,7 +491,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prints = cut(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width))
     words = [f"f{k}" for k in range(WIDE)]
-    texts = prints.groupBy("same").agg(F.min("doc_id").alias("lead"), *[F.first(c).alias(c) for c in [*words, "grams"]])
+    one_each = lambda p: p.groupBy("same").agg(*[F.first(c).alias(c) for c in [*words, "grams"]], F.first(F.expr("length(grams) div 4")).cast("bigint").alias("size"))
+    texts = one_each(prints)
     plan, radius = route_plan(texts.count(), similarity), near_radius(similarity)
     first = cut(candidate_pairs(texts, plan, radius))
     links = cut(similar_pairs(first.where("route is null").select("a", "b"), texts, similarity).select("a", "b"))
@@ -500,7 +500,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = first.where("route is not null").select("route", F.col("a").alias("same"))
     if not members.isEmpty():
         rest = cut(rest_pairs(members, texts, roots, plan, radius, similarity))
-        roots = connected_components(links.unionByName(similar_pairs(rest, texts, similarity).select("a", "b")))
+        paired = rest.select(F.col("a").alias("same")).unionByName(rest.select(F.col("b").alias("same"))).distinct()
+        few = one_each(prints.join(paired, "same", "left_semi"))  # so that no other text's shingles are moved again
+        roots = connected_components(links.unionByName(similar_pairs(rest, few, similarity).select("a", "b")))
     leads = prints.groupBy("same").agg(F.min("doc_id").alias("lead"))
     classed = leads.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("root", "same").alias("root"), "lead")
     heads = classed.groupBy("root").agg(F.min(F.struct("lead", "same")).alias("head"))
