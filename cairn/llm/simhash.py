@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cairn.plans.components import connected_components
 
-from .common import ascii_words, cut, id_text, small_batches, splitmix
+from .common import ascii_words, cut, id_text, small_batches, splitmix, written
 
 SEED = 42
 #: A route with more distinct fingerprints than this is subdivided by further bits.
@@ -275,18 +275,22 @@ def near_duplicate_classes(
     return signed.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: wide fingerprints, bit-sampled routes to Gray-order indexes, exact Jaccard at the end.
+# Near copies by similarity: wide fingerprints in Gray-order indexes, exact Jaccard at the end.
 
-#: Fingerprint words of 64 bits, and the fewest sampled bits of a route; with more texts the bits grow as their logarithm.
+#: Fingerprint words of 64 bits.
 WIDE = 4
-ROUTE_BITS = 16
-ROUTE_RECALL = 0.95
+#: A pair meets in a route if all the smallest hashes of one band are equal: at a similarity of 0.8 in 98.5 of 100 cases.
+BANDS = 8
+BAND_ROWS = 4
 #: Standard deviations above the mean distance at the similarity that still count as near.
-SLACK = 3.0
-#: In the first pass a member of a group over LEAF entries is tied to so many of the most central members of its cluster.
-HUBS = 2
-#: Entries that a block of queries may meet in a large group.
-BLOCK_ENTRIES = 2**20
+SLACK = 4.0
+#: Rounds in which the members of a route are tied to a central one; what they leave apart is searched exactly.
+ROUNDS = 4
+#: Rows of routes that are tied together, and members and queries of a unit of exact search: the bound of a worker's memory.
+TIE_ROWS = 2**15
+UNIT_ROWS = 2048
+#: Pairs whose shingles are counted together.
+CANDIDATES = 2**12
 
 
 def bit_difference(similarity: float) -> float:
@@ -294,180 +298,130 @@ def bit_difference(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def route_plan(texts: int, similarity: float) -> np.ndarray:
-    """(tables, bits): which fingerprint bits make the key of each table, so that a pair meets with ROUTE_RECALL."""
-    bits = max(ROUTE_BITS, int(np.ceil(np.log2(max(2, texts)))) - 3)
-    meet = (1 - bit_difference(similarity)) ** bits
-    tables = int(np.ceil(np.log(1 - ROUTE_RECALL) / np.log(1 - meet)))
-    rng = np.random.default_rng(bits)
-    return np.array([np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(tables)])
-
-
-def route_keys(rows: np.ndarray, plan: np.ndarray) -> Iterator[np.ndarray]:
-    """For each table of the plan the route (uint64) of every row of fingerprint words."""
-    place = np.uint64(1) << np.arange(plan.shape[1], dtype=np.uint64)
-    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
-    for t, chosen in enumerate(plan):
-        yield splitmix((bits[:, chosen].astype(np.uint64) * place).sum(axis=1, dtype=np.uint64) + np.uint64(t << 48))
-
-
 def near_radius(similarity: float) -> int:
     """Differing bits of wide fingerprints up to which a pair counts as near."""
     share = bit_difference(similarity)
     return int(64 * WIDE * share + SLACK * np.sqrt(64 * WIDE * share * (1 - share)))
 
 
+def band_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) routes of consecutive sets of hashes: of each band the smallest hashes under BAND_ROWS orders; none for empty sets."""
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    if len(starts):
+        for k, factor in enumerate(factors):
+            least = np.minimum.reduceat(flat * factor, starts)
+            keys[:, k // BAND_ROWS] = splitmix(keys[:, k // BAND_ROWS] ^ least)
+    return keys + np.arange(BANDS, dtype=np.uint64)
+
+
+def text_words(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray]:
+    """The words of each text and the hash of each word sequence."""
+    words = [ascii_words(t) for t in batch.column("text").to_pylist()]
+    return words, np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words)).view(np.int64)
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, held, same, f0.., grams): hashes of the text and of its word sequence, the fingerprint words and the sorted shingle hashes."""
+    """(doc_id, held, same, size, f0.., keys) of every row: hashes of the text and of its word sequence, the number of
+    distinct shingles, the fingerprint words of the set of shingles, and its routes."""
     source = small_batches(id_text(docs, id_col, text_col).withColumn("held", F.xxhash64("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held", "same", *(f"f{k}" for k in range(WIDE)), "grams"]
+    prints = [f"f{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [ascii_words(t) for t in b.column("text").to_pylist()]
-            same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
-            hashes = [np.array(shingle_hashes(w, width), dtype=np.uint64) for w in words]
-            counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-            flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            words, same = text_words(b)
+            sets = [np.unique(np.array(shingle_hashes(w, width), dtype=np.uint64)) for w in words]
+            counts = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             wide = [majority_bits(flat if k == 0 else splitmix(flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), counts) for k in range(WIDE)]
-            grams = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hashes]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held"), pa.array(same.view(np.int64)), *(pa.array(x.view(np.int64)) for x in wide), pa.array(grams, pa.binary())], names=names)
+            keys = band_keys(flat, counts)
+            ends = np.concatenate(([0], np.cumsum(counts > 0) * BANDS)).astype(np.int32)
+            routes = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
+            columns = [b.column("doc_id"), b.column("held"), pa.array(same), pa.array(counts), *(pa.array(x.view(np.int64)) for x in wide), routes]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held", "same", "size", *prints, "keys"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, held bigint, same bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", grams binary")
+    return source.mapInArrow(run, f"doc_id {kind}, held bigint, same bigint, size bigint, " + ", ".join(f"{f} bigint" for f in prints) + ", keys array<bigint>")
 
 
-def by_route(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
-    """Tables of whole routes (the first column) from batches that are sorted by it."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        table = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-        if not len(table):
-            continue
-        last = np.flatnonzero(table[:, 0] != table[-1, 0])
-        at = int(last[-1]) + 1 if len(last) else 0
-        if at == 0 and (not held or held[0][0, 0] == table[0, 0]):
-            held.append(table)
-            continue
-        yield np.concatenate([*held, table[:at]])
-        held = [table[at:]]
-    if held:
-        yield np.concatenate(held)
+def shingle_sets(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(same, grams): the sorted shingle hashes, 32 bits each, of those texts; `texts` names one row of `docs` each, by id and text hash."""
+    source = id_text(docs, id_col, text_col).withColumn("held", F.xxhash64("text"))
+    source = small_batches(source.join(texts.select("doc_id", "held"), ["doc_id", "held"], "left_semi").select("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, same = text_words(b)
+            grams = [np.unique((np.array(shingle_hashes(w, width), dtype=np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(same), pa.array(grams, pa.binary())], names=["same", "grams"])
 
-def candidate_pairs(texts: DataFrame, plan: np.ndarray, radius: int) -> DataFrame:
-    """(a, b, route): pairs a < b of texts whose wide fingerprints are near (route null), and members of large groups (b null).
+    return source.mapInArrow(run, "same bigint, grams binary").dropDuplicates(["same"])
 
-    `texts` has a row (same, f0..) per distinct text.  In a group of up to LEAF entries all near pairs are kept.  A
-    larger one is first covered by clusters, each what the index finds around a leader, and every member is tied to the
-    most central members of its cluster: copies are nearest to what they were copied from.  So a group of m near copies
-    is united by about m pairs, not their square; what these do not unite is left to `rest_pairs`, for which the
-    members of the group are given.
-    """
-    words = [f"f{k}" for k in range(WIDE)]
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column(c).to_numpy() for c in ("same", *words)]
-            for key in route_keys(np.stack(columns[1:], axis=1), plan):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, columns)], names=["route", "same", *words])
-
-    routed = texts.select("same", *words).mapInArrow(route, "route bigint, same bigint, " + ", ".join(f"{w} bigint" for w in words))
-    routed = routed.repartition("route").withColumn("rank", gray_rank(F.col("f0"))).sortWithinPartitions("route", "rank").drop("rank")
-
-    def near(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        group = np.cumsum(np.r_[True, table[1:, 0] != table[:-1, 0]])
-        rows = np.ascontiguousarray(table[:, 2:]).view(np.uint64)
-        sizes = np.bincount(group)[group]
-        small = np.flatnonzero(sizes <= LEAF)
-        for i, j in group_links(rows[small], group[small], radius):
-            yield table[small[i], 1], table[small[j], 1]
-        for g in np.unique(group[sizes > LEAF]).tolist():
-            at = np.flatnonzero(group == g)
-            own = rows[at]
-            index, open_ = GrayIndex(own), np.ones(len(own), dtype=bool)
-            for i in range(len(own)):
-                if not open_[i]:
-                    continue
-                found = index.search(own[i : i + 1], radius)[1]
-                found = found[open_[found]]
-                open_[found] = False
-                if len(found) < 2:
-                    continue
-                bits = np.unpackbits(own[found].view(np.uint8), axis=1, bitorder="little")
-                centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found), bitorder="little").view(np.uint64)
-                away = np.bitwise_count(own[found] ^ centre).sum(axis=1, dtype=np.int64)
-                for hub in found[np.argsort(away, kind="stable")[:HUBS]].tolist():
-                    ok = found[np.bitwise_count(own[found] ^ own[hub]).sum(axis=1, dtype=np.int64) <= radius]
-                    yield np.full(len(ok), table[at[hub], 1]), table[at[ok], 1]
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("route", pa.int64())])
-        for table in by_route(batches, ["route", "same", *words]):
-            for a, b in near(table):
-                got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                got = got[got[:, 0] != got[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.nulls(len(got), pa.int64())], schema=schema)
-            group = np.cumsum(np.r_[True, table[1:, 0] != table[:-1, 0]])
-            large = table[np.bincount(group)[group] > LEAF]
-            if len(large):
-                yield pa.RecordBatch.from_arrays([pa.array(large[:, 1]), pa.nulls(len(large), pa.int64()), pa.array(large[:, 0])], schema=schema)
-
-    return routed.mapInArrow(pairs, "a bigint, b bigint, route bigint").distinct()
-
-
-def rest_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, plan: np.ndarray, radius: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: all near pairs in the large groups that the first pass left in different components.
-
-    `members` has (route, same) of the large groups, `texts` (same, f0.., size), the number of shingles.  Texts outside the largest component of a group search the whole
-    group, so a family that is united costs nothing more.  A pair is given by the first table in which it meets (where
-    that group is small, the first pass gave it), and only if the numbers of shingles allow the similarity.
+def tie_to_central(group: np.ndarray, rows: np.ndarray, same: np.ndarray, radius: int) -> np.ndarray:
+    """For each row of wide fingerprints the row it is tied to, -1 if to none.
+
+    `group` is ascending.  In each round the member nearest to the majority of its group's open rows takes in what is
+    near to it: copies are nearest to what they were copied from.  All groups go through a round together.
     """
-    words = [f"f{k}" for k in range(WIDE)]
-    names = ["route", "same", *words, "size", "root"]
-    chosen = np.zeros((len(plan), WIDE), dtype=np.uint64)  # the bits of each table
-    for t, bits in enumerate(plan.tolist()):
-        for i in bits:
-            chosen[t, i // 64] |= np.uint64(1 << i % 64)
-    rows = members.join(texts.select("same", *words, "size"), "same").join(roots.withColumnRenamed("node", "same"), "same", "left")
-    rows = rows.select("route", "same", *words, "size", F.coalesce("root", "same").alias("root"))
-    rows = rows.repartition("route").withColumn("rank", gray_rank(F.col("f0"))).sortWithinPartitions("route", "rank").drop("rank")
-
-    def near(part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        same, size, root = part[:, 1], part[:, -2], part[:, -1]
-        own = np.ascontiguousarray(part[:, 2 : 2 + WIDE]).view(np.uint64)
-        _, of, counts = np.unique(root, return_inverse=True, return_counts=True)
-        asks = np.flatnonzero(of != counts.argmax())
-        if not len(asks):
-            return
-        asking = np.zeros(len(part), dtype=bool)
-        asking[asks] = True
-        table = next(t for t, key in enumerate(route_keys(own[:1], plan)) if key.view(np.int64)[0] == part[0, 0])
-        index, block = GrayIndex(own), max(1, min(QUERY_BLOCK, BLOCK_ENTRIES // len(part)))
-        for at in range(0, len(asks), block):
-            q, r = index.search(own[asks[at : at + block]], radius)
-            q = asks[at + q]
-            ok = (root[q] != root[r]) & (~asking[r] | (q < r)) & (np.minimum(size[q], size[r]) >= similarity * np.maximum(size[q], size[r]))
-            q, r = q[ok], r[ok]
-            apart = own[q] ^ own[r]
-            fresh = np.ones(len(q), dtype=bool)
-            for mask in chosen[:table]:
-                fresh &= (apart & mask).any(axis=1)
-            if fresh.any():
-                yield same[q[fresh]], same[r[fresh]]
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_route(batches, names):
-            for part in np.split(table, np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1):
-                for a, b in near(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return rows.mapInArrow(pairs, "a bigint, b bigint")
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    hub = np.full(len(rows), -1, dtype=np.int64)
+    for _ in range(ROUNDS):
+        at = np.flatnonzero(hub < 0)
+        if not len(at):
+            break
+        own = rows[at]
+        cuts = np.flatnonzero(np.r_[True, group[at][1:] != group[at][:-1]])
+        sizes = np.diff(np.r_[cuts, len(at)])
+        run = np.repeat(np.arange(len(cuts)), sizes)
+        sums = np.add.reduceat(np.unpackbits(own.view(np.uint8), axis=1), cuts, axis=0, dtype=np.int32)
+        centre = np.packbits(2 * sums > sizes[:, None], axis=1).view(np.uint64)
+        away = np.bitwise_count(own ^ centre[run]).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((same[at], away, run))
+        chosen = order[np.searchsorted(run, np.arange(len(cuts)))]
+        near = np.bitwise_count(own ^ own[chosen][run]).sum(axis=1, dtype=np.int64) <= radius
+        hub[at[near]] = at[chosen[run[near]]]
+    return hub
+
+
+def tied_routes(texts: DataFrame, radius: int) -> DataFrame:
+    """(route, same, hub): the members of every route with two or more texts, and the central member each is tied to, if any.
+
+    Routes are dealt out by range of (route, same), so that a route of any number of texts is spread; its parts get
+    hubs of their own.
+    """
+    names = ["route", "same", *(f"f{k}" for k in range(WIDE))]
+    routed = texts.select(F.explode("keys").alias("route"), *names[1:])
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = routed.repartitionByRange(parts, "route", "same").sortWithinPartitions("route")
+
+    def tied(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.r_[True, table[1:, 0] != table[:-1, 0]]) - 1
+        ends = (group == 0) | (group == group[-1])  # may go on elsewhere
+        at = np.flatnonzero(ends | (np.bincount(group)[group] > 1))
+        hub = tie_to_central(group[at], np.ascontiguousarray(table[at, 2:]).view(np.uint64), table[at, 1], radius)
+        yield pa.RecordBatch.from_arrays([pa.array(table[at, 0]), pa.array(table[at, 1]), pa.array(table[at[hub], 1], mask=hub < 0)], names=["route", "same", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy() for c in names], axis=1))
+            if sum(map(len, held)) >= TIE_ROWS:
+                table = np.concatenate(held)
+                last = np.flatnonzero(table[:, 0] != table[-1, 0])
+                at = int(last[-1]) + 1 if len(last) else len(table)
+                yield from tied(table[:at])
+                held = [table[at:]]
+        table = np.concatenate(held) if held else np.empty((0, 0))
+        if len(table):
+            yield from tied(table)
+
+    return routed.mapInArrow(run, "route bigint, same bigint, hub bigint")
+
+
+def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """(a, b, similarity): the pairs whose shingle sets really are so similar."""
-    grams = texts.select("same", "grams")
     both = pairs.join(grams.select(F.col("same").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("same").alias("b"), F.col("grams").alias("gb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,36 +429,154 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
             near = []
             for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 near.append(common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similarity)
 
 
+def search_units(members: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(route, i, j, home, same, root, size, f0..): routes that hold several components, cut into units of bounded size.
+
+    The members of a route's largest component are asked for, the others ask (home false) and are asked for: so a
+    family that is united costs nothing, and one that is united but for a few texts only their comparison with all.
+    Every query meets every member in one unit.
+    """
+    rows = members.join(roots.withColumnRenamed("node", "same"), "same", "left").select("route", "same", F.coalesce("root", "same").alias("root"))
+    shares = rows.groupBy("route", "root").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("route").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"))
+    mixed = mixed.where("roots > 1").drop("roots")
+    rows = rows.join(mixed, "route").join(texts.select("same", "size", *(f"f{k}" for k in range(WIDE))), "same")
+    cut_into = lambda n: F.ceil(n / UNIT_ROWS).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("same"), n).cast("int")
+    rows = rows.withColumn("asks", cut_into(F.col("n") - F.col("most"))).withColumn("blocks", cut_into(F.col("n")))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rest = ["same", "root", "size", *(f"f{k}" for k in range(WIDE))]
+    asked = rows.select("route", up_to(F.col("asks")).alias("i"), part(F.col("blocks")).alias("j"), F.lit(True).alias("home"), *rest)
+    asking = rows.where("root <> largest").select("route", part(F.col("asks")).alias("i"), up_to(F.col("blocks")).alias("j"), F.lit(False).alias("home"), *rest)
+    return asked.unionByName(asking)
+
+
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole units from batches that are sorted by unit."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        unit = np.stack([table.column(c).to_numpy() for c in ("route", "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1).tolist(), len(table)]
+        for a, z in zip(cuts, cuts[1:]):
+            piece = table.slice(a, z - a)
+            if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("route", "i", "j")):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(piece)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def unit_candidates(unit: pa.Table, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (query, member) of different components whose fingerprints are near and whose sizes allow the similarity."""
+    home = unit.column("home").to_numpy()
+    same, root, size = (unit.column(c).to_numpy() for c in ("same", "root", "size"))
+    rows = np.stack([unit.column(f"f{k}").to_numpy() for k in range(WIDE)], axis=1).view(np.uint64)
+    rank = rows[:, 0].copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(s)
+    asks, members = np.flatnonzero(~home), np.flatnonzero(home)
+    if not len(asks) or not len(members):
+        return
+    members = members[np.argsort(rank[members], kind="stable")]
+    index, twice = GrayIndex(rows[members]), np.isin(same[members], same[asks])
+    block = max(1, CANDIDATES * LEAF // len(members))
+    for at in range(0, len(asks), block):
+        q, r = index.search(rows[asks[at : at + block]], radius)
+        q, other, r = asks[at + q], twice[r], members[r]
+        ok = (root[q] != root[r]) & (~other | (same[q] < same[r])) & (np.minimum(size[q], size[r]) >= similarity * np.maximum(size[q], size[r]))
+        if ok.any():
+            yield q[ok], r[ok]
+
+
+def unit_links(unit: pa.Table, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of `similarity` between the components of a unit."""
+    same, root = unit.column("same").to_numpy(), unit.column("root").to_numpy().copy()
+    sets = [np.frombuffer(x, np.uint32) for x in unit.column("grams").to_pylist()]
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    shingles, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, marked, found = np.cumsum(counts) - counts, np.zeros(len(shingles), dtype=bool), []
+    for qs, rs in unit_candidates(unit, radius, similarity):
+        for q in np.unique(qs).tolist():
+            own = flat[starts[q] : starts[q] + counts[q]]
+            marked[own] = True
+            for r in np.array_split(rs[qs == q], -(-int((qs == q).sum()) // CANDIDATES)):
+                r = r[root[r] != root[q]]
+                if not len(r):
+                    continue
+                n = counts[r]
+                cuts = np.cumsum(n) - n
+                common = np.add.reduceat(marked[flat[np.repeat(starts[r] - cuts, n) + np.arange(int(n.sum()))]], cuts, dtype=np.int64)
+                for k in r[common >= similarity * (counts[q] + n - common)].tolist():
+                    if root[k] != root[q]:
+                        found.append((int(same[q]), int(same[k])))
+                        root[root == root[k]] = root[q]
+            marked[own] = False
+    return found
+
+
+def links_between(units: DataFrame, grams: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links that unite components within the units; shingles go to the rows only that have a near partner."""
+    fields = ["route", "i", "j", "home", "same", "root", "size", *(f"f{k}" for k in range(WIDE))]
+    dealt = lambda df: df.repartition("route", "i", "j").sortWithinPartitions("route", "i", "j")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in whole_units(batches):
+            partner = np.zeros(len(unit), dtype=bool)
+            for q, r in unit_candidates(unit, radius, similarity):
+                partner[q] = partner[r] = True
+            if partner.any():
+                yield from unit.filter(pa.array(partner)).combine_chunks().to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in whole_units(batches):
+            found = unit_links(unit, radius, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    units = units.select(fields)
+    near = dealt(units).mapInArrow(close, units.schema).join(grams, "same").select(*fields, "grams")
+    return dealt(near).mapInArrow(verify, "a bigint, b bigint")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, with one document of each group of near copies: that of the smallest id.
 
     Groups are what links of `similarity` or more between sets of `width`-word shingles connect; texts with the same
     words are always one group, and so are all null, empty and wordless texts.  Rows of the same id and words stay or go
-    together, those of one id with different words are different documents; rows with a null id stay.
+    together, those of one id with different words are different documents; rows with a null id stay; an empty table
+    stays empty; very long texts are compared whole; columns of any name pass through.
+
+    Texts that share all the smallest shingle hashes of a band meet in a route.  There each is first tied to a central
+    one, and ties that hold are components.  Routes that still hold several are searched through the Gray-order index,
+    and all that is near across components is compared, in the worker: no pair leaves it but a link that unites two.
     """
     prints = cut(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width))
-    words = [f"f{k}" for k in range(WIDE)]
-    one_each = lambda p: p.groupBy("same").agg(*[F.first(c).alias(c) for c in [*words, "grams"]], F.first(F.expr("length(grams) div 4")).cast("bigint").alias("size"))
-    texts = one_each(prints)
-    plan, radius = route_plan(texts.count(), similarity), near_radius(similarity)
-    first = cut(candidate_pairs(texts, plan, radius))
-    links = cut(similar_pairs(first.where("route is null").select("a", "b"), texts, similarity).select("a", "b"))
+    radius, words = near_radius(similarity), [f"f{k}" for k in range(WIDE)]
+    texts = cut(prints.groupBy("same").agg(F.min(F.struct("doc_id", "held")).alias("head"), *[F.first(c).alias(c) for c in ("size", *words, "keys")]))
+    members = cut(tied_routes(texts, radius))
+    met = members.select("same").distinct().join(texts.select("same", "head.*"), "same")
+    grams = written(shingle_sets(docs, met, id_col, text_col, width))
+    ties = members.where("hub is not null").select("route", "same", "hub")
+    hubs = ties.groupBy("route", "hub").agg(F.count("*").alias("n")).where("n > 1")
+    first = hubs.groupBy("route").agg(F.min("hub").alias("first"))
+    pairs = ties.select("same", "hub").unionByName(hubs.join(first, "route").select(F.col("hub").alias("same"), F.col("first").alias("hub")))
+    pairs = pairs.where("same <> hub").select(F.least("same", "hub").alias("a"), F.greatest("same", "hub").alias("b")).distinct()
+    links = cut(similar_pairs(pairs, grams, similarity).select("a", "b"))
     roots = connected_components(links)
-    members = first.where("route is not null").select("route", F.col("a").alias("same"))
-    if not members.isEmpty():
-        rest = cut(rest_pairs(members, texts, roots, plan, radius, similarity))
-        paired = rest.select(F.col("a").alias("same")).unionByName(rest.select(F.col("b").alias("same"))).distinct()
-        few = one_each(prints.join(paired, "same", "left_semi"))  # so that no other text's shingles are moved again
-        roots = connected_components(links.unionByName(similar_pairs(rest, few, similarity).select("a", "b")))
-    leads = prints.groupBy("same").agg(F.min("doc_id").alias("lead"))
-    classed = leads.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("root", "same").alias("root"), "lead")
+    rest = cut(links_between(search_units(members.select("route", "same"), texts, roots), grams, radius, similarity).distinct())
+    if not rest.isEmpty():
+        roots = connected_components(links.unionByName(rest))
+    classed = texts.select("same", F.col("head.doc_id").alias("lead")).join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("root", "same").alias("root"), "lead")
     heads = classed.groupBy("root").agg(F.min(F.struct("lead", "same")).alias("head"))
     headed = classed.join(heads, "root").select("same", "head")
     gone = prints.select("doc_id", "held", "same").join(headed, "same").where((F.col("doc_id") != F.col("head.lead")) | (F.col("same") != F.col("head.same")))
