@@ -9,6 +9,7 @@ a copy of it at the largest allowed distance collide.  Candidates are verified b
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,22 +21,30 @@ from pyspark.sql import functions as F
 from .common import small_batches, splitmix
 
 SIMILARITY = 0.8
-#: Items with fewer words carry no five-word shingle and are left out.
-MIN_WORDS = 5
 RECALL = 0.99
 #: Sampled positions per repetition, and tries per item for measuring the chance of a collision.
 SAMPLES = 2
 TRIES = 24
+#: Beyond so many repetitions the sampling is given up for a size, and all windows that share enough word pairs are verified.
 MAX_REPETITIONS = 256
 #: Bytes of benchmark text whose index is sent to the workers at a time; a larger benchmark takes more passes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+#: Pairs of a window and an item that are verified together.
+VERIFIED = 50_000
 
 _TABLE = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
+#: characters of scripts that are written without spaces, each a word of its own (Thai, Lao, Burmese, Khmer, kana, Han)
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])")
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words of letters and digits; everything else parts words."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    """Lower-cased words of letters and digits; everything else parts words, and so do characters of unspaced scripts."""
+    text = text or ""
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
+    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 def allowed(n: int, similarity: float) -> int:
@@ -44,34 +53,34 @@ def allowed(n: int, similarity: float) -> int:
 
 
 class SizeIndex:
-    """Items of one size: the walks' bit tables over the words of these items, sampled steps and sorted keys."""
+    """Items of one size: the walks' random factors, sampled steps and sorted keys.
+
+    Whether a walk moves on is the top bit of a product of the step's factor and the symbol's code, so no table of bits
+    has to be kept: the index grows with the items and repetitions alone.
+    """
 
-    def __init__(self, n: int, items: np.ndarray, numbers: np.ndarray, similarity: float, recall: float, vocabulary: int):
+    def __init__(self, n: int, items: np.ndarray, numbers: np.ndarray, similarity: float, recall: float, codes: np.ndarray):
         self.n, self.items, self.numbers, self.distance = n, items, numbers, allowed(n, similarity)
         #: neighbouring words that a window within the distance shares with its item at least (q-gram lemma, q = 2)
         self.shared = n - 1 - 2 * self.distance
-        self.pairs = np.empty(0, dtype=bool)  # which word pairs of the whole index are in items of this size
-        used = np.unique(items)
-        self.local = np.zeros(vocabulary, dtype=np.int32)  # 0 for words of no item of this size
-        self.local[used] = np.arange(1, len(used) + 1)
-        self.end = len(used) + 1  # the symbol behind the last one, where a walk stays
+        self.pairs = np.empty(0, dtype=np.int64)  # the word pairs of the whole index that are in items of this size
         rng = np.random.default_rng(n)
         near = self._perturbed(rng)
         steps, missed = 2 * n, np.ones(len(near))
-        self.sampled, self.bits = np.empty((0, min(SAMPLES, steps)), np.int64), np.empty((0, steps, self.end + 1), np.int8)
+        self.sampled, self.factors = np.empty((0, min(SAMPLES, steps)), np.int64), np.empty((0, steps), np.uint64)
         self.sorted_keys: list[tuple[np.ndarray, np.ndarray]] = []
         lot = 8 if self.distance else 1
         while len(self.sampled) < MAX_REPETITIONS and missed.mean() > 1 - recall:
             new = np.array([np.sort(rng.choice(steps, min(SAMPLES, steps), replace=False)) for _ in range(lot)])
-            bits = rng.integers(0, 2, (lot, steps, self.end + 1), dtype=np.int8)
-            bits[:, :, self.end] = 0
-            own = self._walks(items, new, bits)
-            same = self._walks(near, new, bits) == np.repeat(own, len(near) // len(items), axis=1)
+            factors = rng.integers(0, 2**63, (lot, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            own = self._walks(items, new, factors, codes)
+            same = self._walks(near, new, factors, codes) == np.repeat(own, len(near) // len(items), axis=1)
             missed[same.any(axis=0)] = 0
-            self.sampled, self.bits = np.concatenate([self.sampled, new]), np.concatenate([self.bits, bits])
+            self.sampled, self.factors = np.concatenate([self.sampled, new]), np.concatenate([self.factors, factors])
             self.sorted_keys += [(k[o], o) for k in own for o in [np.argsort(k, kind="stable")]]
             if not self.distance:
                 break
+        self.exhaustive = bool(self.distance and missed.mean() > 1 - recall)
 
     def _perturbed(self, rng: np.random.Generator) -> np.ndarray:
         """Copies of the items after `distance` random substitutions, insertions and deletions by strange words."""
@@ -86,20 +95,19 @@ class SizeIndex:
                 out.append((row + [0] * self.n)[: self.n])
         return np.array(out, dtype=np.int64).reshape(-1, self.n)
 
-    def _walks(self, windows: np.ndarray, sampled: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def _walks(self, windows: np.ndarray, sampled: np.ndarray, factors: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """(repetitions, windows): hash of the sampled symbols of each window's walk."""
-        reps, steps, symbols = bits.shape
-        rows = np.concatenate([self.local[windows], np.full((len(windows), 1), self.end, np.int32)], axis=1).ravel()
-        base = np.arange(len(windows))[None, :] * (self.n + 1)
-        at = np.zeros((reps, len(windows)), dtype=np.int64)
-        key = np.zeros((reps, len(windows)), dtype=np.uint64)
+        # behind the last word comes a symbol whose code is 0, where a walk stays
+        rows = np.concatenate([codes[windows], np.zeros((len(windows), 1), np.uint64)], axis=1).ravel()
+        at = np.tile(np.arange(len(windows)) * (self.n + 1), (len(factors), 1))
+        key = np.zeros(at.shape, dtype=np.uint64)
+        top = np.uint64(63)
         for j in range(int(sampled.max()) + 1):
-            s = rows[base + at]
+            code = rows[at]
             here = np.flatnonzero((sampled == j).any(axis=1))
             if len(here):
-                key[here] = splitmix(key[here] * np.uint64(3) + (s[here] + 2).astype(np.uint64))
-            for r in range(reps):
-                at[r] += bits[r, j][s[r]]
+                key[here] = splitmix(key[here] * np.uint64(3) + code[here])
+            at += ((code * factors[:, j : j + 1]) >> top).astype(np.int64)
         return key
 
     def starts(self, places: np.ndarray) -> np.ndarray:
@@ -113,10 +121,12 @@ class SizeIndex:
         n = hi - lo + 1
         return np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
 
-    def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window, item) that collide in a repetition."""
+    def candidates(self, windows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, item) that collide in a repetition; all pairs where the sampling was given up."""
+        if self.exhaustive:
+            return np.repeat(np.arange(len(windows)), len(self.items)), np.tile(np.arange(len(self.items)), len(windows))
         found = []
-        for own, (keys, order) in zip(self._walks(windows, self.sampled, self.bits), self.sorted_keys):
+        for own, (keys, order) in zip(self._walks(windows, self.sampled, self.factors, codes), self.sorted_keys):
             lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             w = np.repeat(np.arange(len(own)), hi - lo)
             nth = np.arange(len(w)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
@@ -150,22 +160,20 @@ class BenchmarkIndex:
         words = [words_of(t) for _, t in rows]
         vocabulary: dict[bytes, int] = {}
         for w in words:
-            if len(w) >= MIN_WORDS:
-                for x in w:
-                    vocabulary.setdefault(x, len(vocabulary) + 1)
+            for x in w:
+                vocabulary.setdefault(x, len(vocabulary) + 1)
         self.vocabulary = vocabulary
+        #: a random code of every word; word 0 stands for all that are in no item
+        self.codes = splitmix(np.arange(1, len(vocabulary) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sizes: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
-            if len(w) >= MIN_WORDS:
+            if w:
                 sizes[len(w)].append(k)
-        self.sizes = [
-            SizeIndex(n, np.array([[vocabulary[x] for x in words[k]] for k in own], dtype=np.int64), np.array(own), similarity, recall, len(vocabulary) + 1) for n, own in sorted(sizes.items())
-        ]
+        self.sizes = [SizeIndex(n, np.array([[vocabulary[x] for x in words[k]] for k in own], dtype=np.int64), np.array(own), similarity, recall, self.codes) for n, own in sorted(sizes.items())]
         used = sorted({(a * (len(vocabulary) + 1) + b) for s in self.sizes for row in s.items.tolist() for a, b in zip(row, row[1:])})
         self.pair_keys = np.array(used, dtype=np.int64)
         for s in self.sizes:
-            s.pairs = np.zeros(len(used), dtype=bool)
-            s.pairs[np.searchsorted(self.pair_keys, (s.items[:, :-1] * (len(vocabulary) + 1) + s.items[:, 1:]).ravel())] = True
+            s.pairs = np.unique(np.searchsorted(self.pair_keys, (s.items[:, :-1] * (len(vocabulary) + 1) + s.items[:, 1:]).ravel()))
         self.sizes_of = list(map(len, words))
         self.pad = max((s.distance for s in self.sizes), default=0) + 1
 
@@ -191,9 +199,15 @@ class BenchmarkIndex:
         places, pairs = self._pairs_in(stream)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for s in self.sizes:
-            at = s.starts(places[s.pairs[pairs]])
-            for k in range(0, len(at), 5_000):
-                starts = at[k : k + 5_000]
+            if s.n == 1:
+                at = np.flatnonzero(np.isin(stream, s.items))
+            else:
+                own = np.zeros(len(self.pair_keys), dtype=bool)
+                own[s.pairs] = True
+                at = s.starts(places[own[pairs]])
+            step = max(1, VERIFIED // len(s.items)) if s.exhaustive else 5_000
+            for k in range(0, len(at), step):
+                starts = at[k : k + step]
                 owner = np.searchsorted(begins, starts, "right") - 1
                 left = begins[owner] + lengths[owner] - starts  # words from here to the text's end
                 fits = left >= s.n - s.distance
@@ -201,7 +215,7 @@ class BenchmarkIndex:
                 longest = s.n + s.distance  # a passage with inserted words is longer than its item
                 windows = stream[np.minimum(starts[:, None] + np.arange(longest), len(stream) - 1)]
                 windows[np.arange(longest) >= left[:, None]] = 0
-                w, item = s.candidates(windows[:, : s.n])
+                w, item = s.candidates(windows[:, : s.n], self.codes)
                 distance, size = edit_distances(windows[w], np.minimum(left[w], longest), s.items[item])
                 for i in np.flatnonzero(distance <= s.distance).tolist():
                     p, t, number = int(starts[w[i]]), int(owner[w[i]]), int(s.numbers[item[i]])
@@ -225,9 +239,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, item_id, first_word, n_words, distance, similarity): for each row of `docs` and each item within reach
     the nearest window, the first of equals.
 
-    Whole texts are searched.  Null and empty texts and items, and items of fewer than MIN_WORDS words, match nothing;
-    a text that ends early is compared as far as it goes; repeated rows each give their matches; extra columns are
-    ignored.
+    Whole texts are searched, very long ones too.  Null and empty texts, and items without a letter or digit, match
+    nothing; items of fewer than five words only match word by word, since the distance is at most n_words / 5; where a
+    size's repetitions can't reach the recall, every window that shares enough word pairs with an item is verified.  A
+    text that ends early is compared as far as it goes; repeated rows and rows with a null id each give their matches;
+    an empty table or benchmark gives none; extra columns are ignored.
     """
     source = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -254,7 +270,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no benchmark item; null and empty texts stay."""
+    """The rows of `docs`, all columns, that hold no benchmark item (see `leaks`); null and empty texts and repeated rows stay."""
     out = docs
     at = docs.columns.index(text_col)
     for index in indexes(benchmark, item_col, item_text, similarity, recall):
