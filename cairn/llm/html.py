@@ -23,7 +23,9 @@ MAX_DEPTH = 400
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas svg math map noframes noembed param rp meta link base".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas noframes noembed param rp meta link base".split())
+#: in drawings and formulas, what is not drawn
+HIDDEN_INSIDE = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption".split()
 )
@@ -50,17 +52,30 @@ SCOPE = frozenset("table td th caption button object template html".split())
 TABLE_PARTS = frozenset("tbody thead tfoot".split())
 
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)\Z", re.I)
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+_DECLARATION = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_COMPOUND = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+|\[[^\]]*\])*)\Z", re.I)
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?)=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]*))\s*[is]?\s*)?\]", re.I)
+_WIDTH = re.compile(r"(min|max)-width\s*:\s*([\d.]+)(px|em|rem)", re.I)
+#: the screen that media rules are read for
+SCREEN_PX = 1280
+BLOCKISH = frozenset("block flex grid table list-item flow-root -webkit-box".split())
+INLINISH = frozenset("inline inline-block inline-flex inline-grid contents".split())
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "depth")
+    __slots__ = ("tag", "attrs", "children", "depth", "parent", "display", "visible")
 
-    def __init__(self, tag: str, attrs: dict[str, str], depth: int):
-        self.tag, self.attrs, self.depth = tag, attrs, depth
+    def __init__(self, tag: str, attrs: dict[str, str], depth: int, parent: Element | None = None):
+        self.tag, self.attrs, self.depth, self.parent = tag, attrs, depth, parent
         self.children: list[Element | str] = []
+        self.display, self.visible = "", True
+
+    def around(self, child: Element | str) -> Element:
+        """A plain block of one child, in the place of this element."""
+        holder = Element("div", {}, 0, self)
+        holder.children, holder.visible = [child], self.visible
+        return holder
 
 
 class TreeBuilder(HTMLParser):
@@ -90,7 +105,7 @@ class TreeBuilder(HTMLParser):
     handle_startendtag = handle_starttag
 
     def _push(self, tag: str, attrs: dict[str, str]) -> Element:
-        node = Element(tag, attrs, self.open[-1].depth + 1)
+        node = Element(tag, attrs, self.open[-1].depth + 1, self.open[-1])
         self.open[-1].children.append(node)
         self.open.append(node)
         return node
@@ -117,9 +132,9 @@ class TreeBuilder(HTMLParser):
             if here in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 break
         if tag == "br":
-            self.open[-1].children.append(Element("br", {}, 0))
+            self.open[-1].children.append(Element("br", {}, 0, self.open[-1]))
         elif tag == "p":
-            self.open[-1].children.append(Element("p", {}, 0))
+            self.open[-1].children.append(Element("p", {}, 0, self.open[-1]))
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "style":
@@ -127,34 +142,175 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def hiding_rules(sheets: list[str]) -> list[tuple[str, list[str], list[str]]]:
-    """(tag, classes, ids) of the simple selectors whose rule hides."""
-    out = []
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(sheets), flags=re.S)):
-        if _HIDING.search(body):
-            for one in selectors.split(","):
-                if (m := _SIMPLE.match(one.strip())) and m.group():
-                    parts = re.findall(r"[.#][\w-]+", m.group(2))
-                    out.append(((m.group(1) or "").lower(), [p[1:] for p in parts if p[0] == "."], [p[1:] for p in parts if p[0] == "#"]))
-    return out
+def on_screen(condition: str) -> bool:
+    """Whether a media query list holds on a screen of SCREEN_PX; features other than widths are taken as given."""
+    for one in condition.lower().split(","):
+        words = re.sub(r"\([^)]*\)", " ", one).split()
+        kind = next((w for w in words if w not in ("and", "only", "not")), "all")
+        holds = kind in ("all", "screen")
+        for bound, number, unit in _WIDTH.findall(one):
+            px = float(number) * (1 if unit.lower() == "px" else 16)
+            holds = holds and (SCREEN_PX >= px if bound.lower() == "min" else SCREEN_PX <= px)
+        if holds != ("not" in words):
+            return True
+    return False
+
+
+def css_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in order; conditional groups are entered."""
+    at, prelude, stack = 0, [], []  # stack: for each open brace whether what it holds counts, and the selectors of a rule
+    for m in _CSS.finditer(css):
+        prelude.append(css[at : m.start()])
+        at, token = m.end(), m.group()
+        if token[0] in "\"'":
+            prelude.append(token)
+        elif token == "{":
+            head = "".join(prelude).strip()
+            counts = all(c for c, _ in stack)
+            if head.startswith("@"):
+                name, _, rest = head[1:].partition(" ")
+                name, _, more = name.lower().partition("(")
+                stack.append((counts and (name in ("supports", "layer", "container", "scope") or name == "media" and on_screen(more + rest)), None))
+            else:
+                stack.append((counts, head))
+            prelude = []
+        elif token == "}":
+            if stack:
+                counts, selectors = stack.pop()
+                if counts and selectors is not None:
+                    yield selectors, "".join(prelude)
+            prelude = []
+        elif token == ";":
+            if stack and stack[-1][1] is not None:
+                prelude.append(";")
+            else:
+                prelude = []  # @import and the like
+
+
+def declared(text: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of what decides on visibility."""
+    return [(k.lower(), v.lower(), bool(i)) for k, v, i in _DECLARATION.findall(text)] if ":" in text else []
+
+
+class Selector:
+    """A selector of tags, classes, ids and attributes with descendants and children; others don't match."""
+
+    def __init__(self, compounds: list[tuple[str, str, list[tuple]]]):
+        self.compounds = compounds  # from the right: (combinator to the left of it, tag, conditions)
+        conditions = [c for _, _, cs in compounds for c in cs]
+        self.weight = (sum(c[0] == "#" for c in conditions), sum(c[0] != "#" for c in conditions), sum(bool(t) for _, t, _ in compounds))
+        _, tag, own = compounds[0]
+        self.key = next(((c[0], c[1]) for kind in "#." for c in own if c[0] == kind), ("", tag))
+
+    @classmethod
+    def read(cls, text: str) -> Selector | None:
+        parts = re.sub(r"\s*>\s*", " > ", text.strip()).split()
+        out, combinator = [], ""
+        for part in parts:
+            if part == ">":
+                combinator = ">"
+                continue
+            if not (m := _COMPOUND.match(part)) or not m.group():
+                return None
+            tag = "" if m.group(1) in (None, "*") else m.group(1).lower()
+            conditions = [(p[0], p[1]) if p[0] else ("[", p[2].lower(), p[3], p[4] or p[5] or p[6], "=" in raw) for raw, p in ((x.group(), x.groups(default="")) for x in _PART.finditer(m.group(2)))]
+            out.append((combinator, tag, conditions))
+            combinator = " "
+        return cls(out[::-1]) if out else None
 
+    @staticmethod
+    def fits(e: Element, tag: str, conditions: list[tuple]) -> bool:
+        if tag and tag != e.tag:
+            return False
+        for c in conditions:
+            if c[0] == ".":
+                if c[1] not in e.attrs.get("class", "").split():
+                    return False
+            elif c[0] == "#":
+                if e.attrs.get("id") != c[1]:
+                    return False
+            else:
+                _, name, how, want, compared = c
+                if (have := e.attrs.get(name)) is None:
+                    return False
+                if compared and not {"": have == want, "~": want in have.split(), "|": have == want or have.startswith(want + "-"), "^": want != "" and have.startswith(want), "$": want != "" and have.endswith(want), "*": want != "" and want in have}[how]:
+                    return False
+        return True
+
+    def matches(self, e: Element, k: int = 0) -> bool:
+        combinator, tag, conditions = self.compounds[k]
+        if not self.fits(e, tag, conditions):
+            return False
+        if k + 1 == len(self.compounds):
+            return True
+        up = e.parent
+        if combinator == ">":
+            return up is not None and self.matches(up, k + 1)
+        while up is not None:
+            if self.matches(up, k + 1):
+                return True
+            up = up.parent
+        return False
 
-class Renderer:
-    def __init__(self, rules: list[tuple[str, list[str], list[str]]]):
-        self.rules = rules
 
-    def hidden(self, e: Element, parent: Element | None) -> bool:
-        a = e.attrs
-        if e.tag in HIDDEN or "hidden" in a or (e.tag == "input" and a.get("type", "").lower() == "hidden") or _HIDING.search(a.get("style", "")):
-            return True
-        if e.tag == "dialog" and "open" not in a:
-            return True
-        if parent is not None and parent.tag == "details" and "open" not in parent.attrs and e.tag != "summary":
+class Styles:
+    """The cascade of display and visibility: importance, inline style, specificity, order."""
+
+    def __init__(self, sheets: list[str]):
+        self.by_key: dict[tuple[str, str], list[tuple]] = {}
+        for order, (selectors, body) in enumerate(css_rules("\n".join(sheets))):
+            if found := declared(body):
+                for one in selectors.split(","):
+                    if selector := Selector.read(one):
+                        self.by_key.setdefault(selector.key, []).append((selector, order, found))
+
+    def of(self, e: Element) -> dict[str, str]:
+        best: dict[str, tuple[tuple, str]] = {}
+
+        def offer(found: list[tuple[str, str, bool]], rank: tuple) -> None:
+            for n, (name, value, important) in enumerate(found):
+                mine = (important, *rank, n)
+                if name not in best or mine >= best[name][0]:
+                    best[name] = (mine, value)
+
+        if self.by_key:
+            keys = [("", ""), ("", e.tag), *(("." , c) for c in e.attrs.get("class", "").split()), ("#", e.attrs.get("id", ""))]
+            for key in dict.fromkeys(keys):
+                for selector, order, found in self.by_key.get(key, ()):
+                    if selector.matches(e):
+                        offer(found, (0, selector.weight, order))
+        if "style" in e.attrs:
+            offer(declared(e.attrs["style"]), (1, (0, 0, 0), 0))
+        return {name: value for name, (_, value) in best.items()}
+
+    def apply(self, root: Element) -> None:
+        """Set display and visible of every element that is displayed; what is not has display none."""
+        todo: list[tuple[Element, str]] = [(root, "")]
+        while todo:
+            e, inside = todo.pop()
+            open_ = "open" in e.attrs
+            summary = next((c for c in e.children if isinstance(c, Element) and c.tag == "summary"), None) if e.tag == "details" else None
+            for child in e.children:
+                if isinstance(child, str):
+                    continue
+                a = child.attrs
+                style = self.of(child)
+                child.display = style.get("display", "none" if "hidden" in a or (child.tag == "dialog" and "open" not in a) else "")
+                child.visible = style["visibility"] == "visible" if style.get("visibility", "inherit") not in ("inherit", "unset") else e.visible
+                if child.tag in HIDDEN or (child.tag == "input" and a.get("type", "").lower() == "hidden") or child.tag in HIDDEN_INSIDE.get(inside, ()):
+                    child.display = "none"
+                elif e.tag == "details" and not open_ and child is not summary:
+                    child.display = "none"
+                if child.display != "none":
+                    todo.append((child, child.tag if child.tag in HIDDEN_INSIDE else inside))
+
+
+class Renderer:
+    @staticmethod
+    def is_block(e: Element) -> bool:
+        if e.display in BLOCKISH:
             return True
-        if self.rules:
-            classes = a.get("class", "").split()
-            return any((not t or t == e.tag) and all(c in classes for c in cs) and all(i == a.get("id") for i in ids) for t, cs, ids in self.rules)
-        return False
+        return e.tag in BLOCK and e.display not in INLINISH
 
     def block(self, e: Element, pre: bool = False) -> list[str]:
         """Lines of an element's content; '' is a blank line that neighbours share."""
@@ -176,20 +332,25 @@ class Renderer:
         def visit(node: Element, pre: bool) -> None:
             for child in node.children:
                 if isinstance(child, str):
-                    if not (node.tag == "details" and "open" not in node.attrs):
+                    if node.visible and not (node.tag == "details" and "open" not in node.attrs):
                         inline.append(child.replace("\0", ""))
                     continue
-                if self.hidden(child, node):
+                if child.display == "none":
                     continue
                 if child.tag == "br":
                     inline.append("\n" if pre else "\0")
+                elif child.tag == "svg" or node.tag == "svg" and child.tag == "text":
+                    inline.append(" ")
+                    visit(child, pre)
+                    inline.append(" ")
                 elif child.tag == "input":
-                    inline.append(" " + child.attrs.get("value", "") + " " if child.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") else " ")
+                    inline.append(" " if not child.visible else " " + child.attrs.get("value", "") + " " if child.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") else " ")
                 elif child.tag == "q":
-                    inline.append("“")
+                    marks = ("“", "”") if child.visible else ("", "")
+                    inline.append(marks[0])
                     visit(child, pre)
-                    inline.append("”")
-                elif child.tag in BLOCK:
+                    inline.append(marks[1])
+                elif self.is_block(child):
                     flush()
                     spaced = child.tag in SPACED
                     if spaced:
@@ -214,7 +375,7 @@ class Renderer:
 
     def child_block(self, e: Element, pre: bool) -> list[str]:
         if e.tag == "hr":
-            return ["---"]
+            return ["---"] if e.visible else []
         if e.tag == "pre":
             return self.block(e, True)
         if e.tag in ("ul", "ol", "menu", "dir"):
@@ -236,74 +397,94 @@ class Renderer:
             number = sum(isinstance(c, Element) and c.tag == "li" for c in e.children)
         for child in e.children:
             if isinstance(child, str):
-                if text := _BLANK.sub(" ", child).strip(" "):
+                if e.visible and (text := _BLANK.sub(" ", child).strip(" ")):
                     lines.append(text)
-            elif not self.hidden(child, e):
+            elif child.display != "none":
                 if child.tag != "li":
-                    holder = Element("div", {}, 0)
-                    holder.children = [child]
-                    lines += ["  " + x if x else x for x in trimmed(self.block(holder))]
+                    lines += ["  " + x if x else x for x in trimmed(self.block(e.around(child)))]
                     continue
                 if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
                     number = int(child.attrs["value"])
-                mark = f"{number}. " if e.tag == "ol" else "- "
+                mark = "" if not child.visible else f"{number}. " if e.tag == "ol" else "- "
                 number += -1 if "reversed" in e.attrs else 1
-                own = [x for x in trimmed(self.block(child)) if x] or [""]
+                own = [x for x in trimmed(self.block(child)) if x] or [""] * child.visible
+                if not own:
+                    continue
                 lines.append((mark + own[0]).rstrip())
                 lines += [" " * len(mark) + x for x in own[1:]]
         return lines
 
     def table(self, e: Element) -> list[str]:
-        """Rows with cells in columns of even width, two spaces apart; a cell of several lines takes several lines."""
+        """Rows with cells in columns of even width, two spaces apart; a cell of several lines takes several lines.
+
+        A cell that spans columns or rows keeps the others out of its places; its text stands in the first of them.
+        """
         head: list[str] = []
-        rows: list[list[tuple[list[str], int]]] = []
+        sections: list[list[list[tuple[list[str], int, int]]]] = []
+        feet: list[list[list[tuple[list[str], int, int]]]] = []
+
+        def span(cell: Element, name: str) -> int:
+            text = cell.attrs.get(name, "1").strip()
+            return min(1000, int(text)) if re.fullmatch(r"\d{1,5}", text) else 1
 
-        def collect(node: Element) -> None:
+        def collect(node: Element, rows: list) -> None:
             for child in node.children:
                 if isinstance(child, str):
-                    if text := _BLANK.sub(" ", child).strip(" "):
+                    if node.visible and (text := _BLANK.sub(" ", child).strip(" ")):
                         head.append(text)
-                elif self.hidden(child, node):
+                elif child.display == "none":
                     continue
                 elif child.tag in TABLE_PARTS:
-                    collect(child)
+                    own: list = []
+                    (feet if child.tag == "tfoot" else sections).append(own)
+                    collect(child, own)
+                    if node is e:
+                        sections.append(rows := [])
                 elif child.tag == "tr":
                     row = []
                     for cell in child.children:
                         if isinstance(cell, str):
-                            if text := _BLANK.sub(" ", cell).strip(" "):
-                                row.append(([text], 1))
-                        elif not self.hidden(cell, child):
-                            span = cell.attrs.get("colspan", "1")
-                            row.append(([x for x in self.block(cell) if x], min(1000, max(1, int(span)) if re.fullmatch(r"\d{1,4}", span) else 1)))
-                    if row:
-                        rows.append(row)
+                            if child.visible and (text := _BLANK.sub(" ", cell).strip(" ")):
+                                row.append(([text], 1, 1))
+                        elif cell.display != "none":
+                            lines = [x for x in (self.block(cell) if cell.tag in ("td", "th") else self.block(child.around(cell))) if x]
+                            row.append((lines, max(1, span(cell, "colspan")), span(cell, "rowspan")))
+                    rows.append(row)
                 elif child.tag == "caption":
                     head.extend(self.block(child))
                 else:
-                    holder = Element("div", {}, 0)
-                    holder.children = [child]
-                    head.extend(self.block(holder))
-
-        collect(e)
+                    head.extend(self.block(e.around(child)))
+
+        sections.append(first := [])
+        collect(e, first)
+        placed: list[list[tuple[list[str], int, int]]] = []  # (lines, column, columns)
+        for rows in [*sections, *feet]:
+            taken: dict[int, int] = {}  # column -> row of this section from which it is free again
+            for r, row in enumerate(rows):
+                at, cells = 0, []
+                for lines, wide, high in row:
+                    while taken.get(at, 0) > r:
+                        at += 1
+                    cells.append((lines, at, wide))
+                    for c in range(at, at + wide):
+                        taken[c] = len(rows) if high == 0 else r + high
+                    at += wide
+                placed.append(cells)
         widths: dict[int, int] = {}
-        for row in rows:
-            at = 0
-            for lines, span in row:
-                if span == 1:
+        for row in placed:
+            for lines, at, wide in row:
+                if wide == 1:
                     widths[at] = max(widths.get(at, 0), max(map(columns, lines), default=0))
-                at += span
+        begins = [0]
+        for c in range(max((at + wide for row in placed for _, at, wide in row), default=0)):
+            begins.append(begins[-1] + (widths[c] + 2 if widths.get(c) else 0))
         out = list(head)
-        for row in rows:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                line, at, upto = "", 0, 0
-                for lines, span in row:
-                    text = lines[k] if k < len(lines) else ""
-                    line += " " * max(0, upto - columns(line)) + text
-                    at += span
-                    upto = sum(widths.get(c, 0) + 2 for c in range(at))
-                    if text and columns(line) + 2 > upto:
-                        upto = columns(line) + 2
+        for row in placed:
+            for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+                line = ""
+                for lines, at, _ in row:
+                    if k < len(lines) and lines[k]:
+                        line += " " * max(2 if line else 0, begins[at] - columns(line)) + lines[k]
                 out.append(line.rstrip())
         return out
 
@@ -325,21 +506,28 @@ def trimmed(lines: list[str]) -> list[str]:
 
 
 def visible_text(html: str | None) -> str:
-    """All text that a browser would show, laid out in lines; '' for null and empty pages."""
+    """All text that a browser would show, laid out in lines; '' for null and empty pages.
+
+    What hides: elements that are never shown, closed details and dialogs, the hidden attribute, and display and
+    visibility from style sheets and attributes by the cascade (selectors of tags, classes, ids, attributes, descendants
+    and children; media rules as on a screen of SCREEN_PX).  Rules with other selectors, such as :hover, don't hold.
+    """
     if not html:
         return ""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return "\n".join(trimmed(Renderer(hiding_rules(builder.sheets)).block(builder.root)))
+    Styles(builder.sheets).apply(builder.root)
+    return "\n".join(trimmed(Renderer().block(builder.root)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text): the visible text of every whole page.
 
-    Null and empty pages give ''; broken markup is read as far as it goes; repeated rows stay; extra columns are
-    ignored.
+    Null and empty pages give ''; broken markup is read as far as it goes; very long pages are read whole, elements
+    below MAX_DEPTH become siblings; repeated rows and rows with a null id stay; an empty table gives no rows; extra
+    columns are ignored.
     """
     source = small_batches(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")))
     kind = source.schema["page_id"].dataType.simpleString()
