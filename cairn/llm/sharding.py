@@ -24,6 +24,8 @@ SAMPLES_PER_RANGE = 16
 #: A range over this many times its even share is subdivided, in so many rounds at most.
 OVERFULL = 2.0
 ROUNDS = 4
+#: Bits of the second key that don't come from id and text, so that equal rows can be divided too.
+TIE_BITS = 20
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,7 +36,8 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint").alias("text_crc32"),
         F.xxhash64("text").alias("k1"),
-        F.xxhash64("doc_id", "text").alias("k2"),
+        # its low bits part rows that are there many times; fixed by the checkpoint that follows
+        F.xxhash64("doc_id", "text").bitwiseAND(F.lit(-(1 << TIE_BITS))).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << TIE_BITS) - 1))).alias("k2"),
     )
 
 
@@ -98,7 +101,8 @@ def assign_shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id
     """doc_id, size, text_crc32, law 'bytes', shard, slot (gapless from 0 in its shard), grown_shard (null) per row.
 
     The shards' sizes differ by about one record at most.  Null and empty texts have size 16; repeated rows each get a
-    slot; equal texts are neighbours, in one shard unless its end falls among them; an empty table gives no rows; extra
+    slot, and are divided like any others; rows with a null id are placed too; very long texts count by their size and
+    are not moved; equal texts are neighbours, in one shard unless its end falls among them; an empty table gives no rows; extra
     columns are ignored.
     """
     spark = docs.sparkSession
@@ -120,7 +124,7 @@ def assign_shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the rows of `docs` as Parquet, a folder for each shard; returns the assignment.  Ids must be unique."""
+    """Write the rows of `docs` as Parquet, a folder for each shard; returns the assignment.  Ids must be unique and not null."""
     placed = assign_shards(docs, n_shards, id_col, text_col)
     joined = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard"), id_col)
     joined.repartition("shard", F.xxhash64(id_col) % 8).write.partitionBy("shard").parquet(path)

@@ -14,10 +14,14 @@ from .common import cut, id_text
 WIDTH = 5
 #: Kept part of the hash range as a power of two: 2 keeps a quarter.
 FRACTION_BITS = 2
-#: Rows of a run of neighbouring doc_ids, of which one task at a time holds the texts.
+#: Rows that a run of neighbouring doc_ids should have, and the number of runs that a table is divided into at most at
+#: a time; a larger table gets larger runs.  A run is sorted by Spark's own sort, which spills.
 RUN_ROWS = 1024
-#: Rows of the boundary table up to which it is broadcast (16 bytes each).
-BROADCAST_ROWS = 1_000_000
+MAX_RUNS = 10_000
+#: Runs of more than so many times their share are divided again by their own range of ids, in so many rounds at most
+#: (ids in clusters within clusters); so there are fewer than ROUNDS * 2 * MAX_RUNS runs, and their heads are broadcast.
+OVERFULL = 4
+ROUNDS = 8
 
 _LOWEST = -(1 << 63)
 
@@ -77,6 +81,33 @@ def with_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, frac
     return df.withColumn(out, sketch_of(F.col(h), F.col(kept))).drop(h, kept)
 
 
+def with_runs(rows: DataFrame) -> DataFrame:
+    """Add `run` (array<bigint>), which orders as doc_id does and holds about RUN_ROWS neighbouring ids; null ids: the lowest.
+
+    Even parts of the range of ids come first; parts that turn out overfull (ids that lie in clusters, or one far id)
+    are divided by their own range, down to single ids.  Differences are exact decimals, so ids may use all 64 bits.
+    """
+    exact = lambda c: c.cast("decimal(20,0)")
+
+    def part(lo: Column, hi: Column, n: Column) -> Column:
+        share = (exact(F.col("doc_id")) - exact(lo)).cast("double") / (exact(hi) - exact(lo) + 1).cast("double")
+        return F.array(F.least(F.floor(share * n), n - 1).cast("bigint"))
+
+    span = rows.agg(F.min("doc_id").cast("string").alias("lo"), F.max("doc_id").cast("string").alias("hi"), F.count("*").alias("n")).first()
+    target = max(RUN_ROWS, -(-span.n // MAX_RUNS))
+    first = F.when(F.col("doc_id").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(part(F.lit(span.lo), F.lit(span.hi), F.lit(max(1, -(-span.n // target)))))
+    ids, rows = rows.select("doc_id", first.alias("run")), rows.withColumn("run", first)
+    for _ in range(ROUNDS):
+        sums = ids.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+        full = cut(sums.where((F.col("n") > OVERFULL * target) & (F.col("lo") < F.col("hi"))).select("run", "lo", "hi", F.ceil(F.col("n") / target).alias("parts")))
+        if full.isEmpty():
+            break
+        deeper = F.when(F.col("parts").isNull(), F.col("run")).otherwise(F.concat("run", part(F.col("lo"), F.col("hi"), F.col("parts"))))
+        divide = lambda df: df.join(F.broadcast(full), "run", "left").withColumn("run", deeper).drop("lo", "hi", "parts")  # noqa: B023, E731
+        ids, rows = divide(ids), divide(rows)
+    return rows
+
+
 def with_next(docs: DataFrame, columns: list[str], derive=lambda df: df, derived: tuple[str, ...] = ()) -> DataFrame:
     """Add next_<c> for the given columns: the row with the next smaller doc_id; after the last row the first.
 
@@ -86,22 +117,15 @@ def with_next(docs: DataFrame, columns: list[str], derive=lambda df: df, derived
     that follows, so the texts are shuffled once and no task orders the whole table.  Ties and null ids (last) are
     ordered by the hash of all columns.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = span.lo or 0, span.hi or 0, span.n
-    width = max(1, (hi - lo + 1) * RUN_ROWS // max(1, n))
-    run = F.expr(f"coalesce((cast(doc_id as bigint) - {lo}L) div {width}L, -1L)")
-    tie = F.xxhash64("doc_id", *columns)
-    rows = docs.select("doc_id", *columns, run.alias("run"), tie.alias("tie"), F.lit(False).alias("copy"))
+    rows = with_runs(docs.select("doc_id", *columns))
+    rows = rows.select("doc_id", *columns, "run", F.xxhash64("doc_id", *columns).alias("tie"), F.lit(False).alias("copy"))
     first = F.max(F.struct("doc_id", (-F.col("tie")).alias("tie"))).alias("first")
     heads = rows.groupBy("run").agg(first)
-    before = Window.orderBy(F.col("run").desc())
-    heads = heads.select("run", "first", F.lag("run").over(before).alias("to"))  # one row for each run of RUN_ROWS rows
-    lowest = heads.agg(F.min("run").alias("lowest"))
-    heads = heads.crossJoin(F.broadcast(lowest)).select(F.col("run").alias("h_run"), F.col("first.doc_id").alias("h_id"), (-F.col("first.tie")).alias("h_tie"), F.coalesce("to", "lowest").alias("h_to"))
-    heads = cut(heads)
-    small = F.broadcast(heads) if n // RUN_ROWS <= BROADCAST_ROWS else heads
+    before = Window.orderBy(F.col("run").desc())  # over a row for each run, bounded by MAX_RUNS
+    lowest = F.last("run").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = cut(heads.select(F.col("run").alias("h_run"), F.col("first.doc_id").alias("h_id"), (-F.col("first.tie")).alias("h_tie"), F.coalesce(F.lag("run").over(before), lowest).alias("h_to")))
     is_head = F.expr("run = h_run and doc_id <=> h_id and tie = h_tie")
-    copies = rows.join(small, is_head).select("doc_id", *columns, F.col("h_to").alias("run"), "tie", F.lit(True).alias("copy"))
+    copies = rows.join(F.broadcast(heads), is_head).select("doc_id", *columns, F.col("h_to").alias("run"), "tie", F.lit(True).alias("copy"))
     order = Window.partitionBy("run").orderBy(F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("tie"))
     columns = [*columns, *derived]
     led = derive(rows.unionByName(copies)).select("doc_id", *columns, "copy", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
@@ -112,9 +136,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Fingerprints of every whole text and of its edited form, and their likeness.
 
     Null texts count as empty, and an empty text keeps an empty fingerprint; the edited text replaces the last
-    floor(n_chars / 2) code points by the first as many of the next document in descending doc_id.  Ids are integers.
-    A table of one row is its own next document; repeated rows stay; extra columns are ignored.
+    floor(n_chars / 2) code points by the first as many of the next document in descending doc_id.  Ids are integers of
+    up to 64 bits; rows with a null id stand behind all others.  A table of one row is its own next document; repeated
+    rows stay, equal ids are ordered by a hash of their row; an empty table gives no rows; extra columns are ignored.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer column: documents are ordered by it")
     base = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     led = with_next(base, ["text"], lambda df: with_sketch(df, "text", "sketch", width, fraction_bits), ("sketch",))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")

@@ -42,6 +42,17 @@ def test_overfull_ranges_are_subdivided(spark, monkeypatch):
     assert total == 2000 * 25 and len(sums) > 16 and max(r.bytes for r in sums) < total / 6
 
 
+def test_one_row_that_is_there_many_times_is_divided(spark):
+    rows = [(7, "one and the same")] * 5000 + [(i, f"other {i}") for i in range(500)] + [(None, "one and the same")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    records = sharding.cut(sharding.sized(df))
+    _, sums, total = sharding.range_totals(spark, records, 8)
+    assert max(r.n for r in sums) < len(rows) / 10  # the window that orders a range never gets the whole group
+    got = sharding.assign_shards(df, 8).collect()
+    loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert len(got) == len(rows) and max(loads) - min(loads) <= 64
+
+
 def test_range_of_equals_a_plain_search():
     rng = np.random.default_rng(2)
     b = np.unique(rng.integers(0, 5, (30, 2)), axis=0)
@@ -87,6 +98,25 @@ def test_edited_likeness(spark, monkeypatch, run_rows):
         assert r.near_edited == pytest.approx(likeness(a, b)) and r.near_next == pytest.approx(likeness(a, c))
 
 
+def test_far_and_clustered_ids_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "RUN_ROWS", 50)
+    ids = [*range(2000), *range(2**40, 2**40 + 500), 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id bigint, text string").repartition(4)
+    runs = sketches.with_runs(df).groupBy("run").count().collect()
+    assert max(r["count"] for r in runs) <= sketches.OVERFULL * 51
+    got = {r.doc_id: r for r in sketches.edited_likeness(df).collect()}
+    order = sorted(ids, reverse=True)
+    for k, i in enumerate(order):
+        t, after = f"text of {i}", f"text of {order[(k + 1) % len(order)]}"
+        half = len(t) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    odd = spark.createDataFrame([(3, "a b", 1), (3, "a b", 1), (None, "z", 2), (None, None, 3)], "doc_id bigint, text string, run int")
+    rows = sketches.edited_likeness(odd).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["3", "3", "None", "None"]
+    with pytest.raises(TypeError):
+        sketches.edited_likeness(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_sketch_edges_merge_and_containment(spark):
     df = spark.createDataFrame([(1, "only one")], "doc_id bigint, text string")
     r = sketches.edited_likeness(df).first()
