@@ -142,6 +142,11 @@ def pair_file(part: int) -> str:
     return f"pairs-{part:06d}"
 
 
+def halves(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of pair hashes that the directory doesn't tell: the upper 32 and the lower 16, so keys are kept whole."""
+    return (g >> np.uint64(32 - DIRECTORY_BITS)).astype(np.uint32), g.astype(np.uint16)
+
+
 def word_file(part: int) -> str:
     return f"words-{part:06d}"
 
@@ -197,7 +202,7 @@ def packed_pairs(train: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
 
 
 def by_part(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartition(parts, "part").sortWithinPartitions("part")
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part")
 
 
 def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -243,8 +248,8 @@ def stored_pairs(packed: DataFrame, folder: str, parts: int) -> DataFrame:
             o = np.argsort(g)
             top = (g[o] >> np.uint64(64 - DIRECTORY_BITS)).astype(np.int64)
             directory = np.searchsorted(top, np.arange((1 << DIRECTORY_BITS) + 1)).astype(np.int64)
-            low = (g[o] >> np.uint64(32 - DIRECTORY_BITS)).astype(np.uint32)
-            write_arrays(folder, pair_file(part), [np.array([len(g)], np.int64), directory, low, c[o].astype(np.float32)])
+            count = c[o].astype(np.int64 if int(c.max(initial=0)) >> 32 else np.uint32)
+            write_arrays(folder, pair_file(part), [np.array([len(g), count.itemsize], np.int64), directory, *halves(g[o]), count])
             cuts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
             follow = [np.add.reduceat((c == 1).astype(np.int64), cuts), np.add.reduceat((c == 2).astype(np.int64), cuts), np.add.reduceat((c > 2).astype(np.int64), cuts)]
             ow = np.argsort(w)
@@ -315,15 +320,17 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
-    def _pairs(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def _pairs(self, part: int) -> tuple[np.ndarray, ...] | None:
         key = pair_file(part)
         if key not in self._open:
             self._open[key] = None
             path = local_path(self.folder, key)
             if os.path.exists(path):
-                n, d = int(np.fromfile(path, np.int64, 1)[0]), (1 << DIRECTORY_BITS) + 1
-                at = 8 + 8 * d
-                self._open[key] = np.memmap(path, np.int64, "r", 8, (d,)), np.memmap(path, np.uint32, "r", at, (n,)), np.memmap(path, np.float32, "r", at + 4 * n, (n,))
+                n, width = np.fromfile(path, np.int64, 2).tolist()
+                d = (1 << DIRECTORY_BITS) + 1
+                at = 16 + 8 * d
+                kinds = ((np.uint32, at), (np.uint16, at + 4 * n), (np.int64 if width == 8 else np.uint32, at + 6 * n))
+                self._open[key] = np.memmap(path, np.int64, "r", 16, (d,)), *(np.memmap(path, k, "r", x, (n,)) for k, x in kinds)
         return self._open[key]
 
     def _words(self, part: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -347,17 +354,18 @@ class Model:
             mine = o[a:z]
             if (opened := self._pairs(int(part[mine[0]]))) is None or not len(opened[1]):
                 continue
-            directory, low, count = opened
-            top, key = (g[mine] >> np.uint64(64 - DIRECTORY_BITS)).astype(np.int64), (g[mine] >> np.uint64(32 - DIRECTORY_BITS)).astype(np.uint32)
+            directory, low, rest, count = opened
+            top, (key, tail) = (g[mine] >> np.uint64(64 - DIRECTORY_BITS)).astype(np.int64), halves(g[mine])
             lo, end = directory[top], directory[top + 1]
             hi = end.copy()
             while (go := lo < hi).any():
                 mid = (lo + hi) >> 1
-                less = go & (low[np.minimum(mid, len(low) - 1)] < key)
+                m = np.minimum(mid, len(low) - 1)
+                less = go & ((low[m] < key) | ((low[m] == key) & (rest[m] < tail)))
                 lo = np.where(less, mid + 1, lo)
                 hi = np.where(go & ~less, mid, hi)
             at = np.minimum(lo, len(low) - 1)
-            out[mine] = np.where((lo < end) & (low[at] == key), count[at], 0)
+            out[mine] = np.where((lo < end) & (low[at] == key) & (rest[at] == tail), count[at], 0)
         return out
 
     def word_stats(self, h: np.ndarray) -> np.ndarray:
