@@ -39,6 +39,20 @@ def test_languages(spark):
     assert {r.lang_pred for r in none} == {"und"} and langid.identify(df.limit(0), langid.fit(train)).count() == 0
 
 
+def test_gibberish_and_unlabelled_languages_go(spark):
+    rng = random.Random(5)
+    letters = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9)))
+    rows = [*corpus(), *[(1000 + i, " ".join(letters() for _ in range(60)), None) for i in range(20)], (1100, "Все люди рождаются свободными и равными " * 3, None)]
+    rows += [(1200, rows[0][1], None), (1200, rows[0][1], None), (None, rows[0][1], "aa"), (1201, "kalo", None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, score int").repartition(3)
+    out = langid.keep_identified(df)
+    kept = out.collect()
+    assert out.schema == df.schema and {r.doc_id for r in kept} == {r[0] for r in corpus()} | {1200, None, 1201}
+    assert sum(r.doc_id == 1200 for r in kept) == 2
+    assert {r.lang for r in kept if r.doc_id == 1200} == {rows[0][2]}  # a null language is filled
+    assert langid.keep_identified(df.limit(0)).count() == 0
+
+
 def test_masks_hold_all_languages_of_a_gram():
     grams = {"a": np.arange(1, 500, dtype=np.uint64), "b": np.arange(400, 900, dtype=np.uint64)}
     f = langid.LanguageFilters.build(grams, "a")
@@ -98,6 +112,27 @@ def test_untrained_model(spark):
     assert lm.score(df.limit(0), lm.fit(df)).count() == 0
 
 
+def test_repeated_rows_null_ids_and_a_very_long_text(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b"), (2, "a b " * 200_000)]
+    df = spark.createDataFrame([(*r, 0.5, 7) for r in rows], "doc_id bigint, text string, score double, n_tokens int")
+    got = sorted(((str(r.doc_id), r.n_tokens, r.train_tokens) for r in lm.score(df, lm.fit(df)).collect()))
+    assert got == [("1", 4, 400012), ("1", 4, 400012), ("2", 400001, 400012), ("None", 3, 400012)]
+
+
+def test_pairs_that_share_48_bits_are_told_apart(tmp_path, monkeypatch):
+    v, w = np.arange(1, 9, dtype=np.uint64), np.arange(11, 19, dtype=np.uint64)
+    g = np.uint64(5) << np.uint64(48) | np.arange(8, dtype=np.uint64)  # only the lowest bits differ
+    monkeypatch.setattr(lm, "pair_hash", lambda v, w: np.uint64(5) << np.uint64(48) | (v - np.uint64(1)))
+    top = (g >> np.uint64(64 - lm.DIRECTORY_BITS)).astype(np.int64)
+    directory = np.searchsorted(top, np.arange((1 << lm.DIRECTORY_BITS) + 1)).astype(np.int64)
+    kept = np.array([0, 2, 4, 6])
+    counts = np.array([1, 2, 3, 2**33], np.int64)
+    directory = np.searchsorted(top[kept], np.arange((1 << lm.DIRECTORY_BITS) + 1)).astype(np.int64)
+    lm.write_arrays(f"file://{tmp_path}", lm.pair_file(0), [np.array([4, 8], np.int64), directory, *lm.halves(g[kept]), counts])
+    model = lm.Model(f"file://{tmp_path}", 1, np.empty(0, np.uint64), 1, 1, 1, 4, np.zeros(4), np.zeros(4), np.zeros(3))
+    assert model.pair_counts(v, w).tolist() == [1, 0, 2, 0, 3, 0, 2**33, 0]
+
+
 def test_packing_round_trips():
     v, w, c = lm.summed(np.array([3, 3, 9, 3], np.uint64), np.array([1, 1, 2, 7], np.uint64), np.array([1, 400, 1, 2]))
     assert all((a == b).all() for a, b in zip(lm.unpack(lm.pack(v, w, c)), (v, w, c)))
