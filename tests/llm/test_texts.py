@@ -170,7 +170,7 @@ def test_leaks_within_the_distance(spark):
         truth.append((k, k))
     texts += [" ".join(rng.choice(words) for _ in range(300)) for _ in range(60)] + [None, "", items[0].upper(), "w1 " * 30_000]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, item_id string").repartition(3)
-    bench = spark.createDataFrame([*enumerate(items), (900, None), (901, ""), (902, "w1 w2")], "item_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (900, None), (901, ""), (902, "?!")], "item_id bigint, text string")
     got = decontamination.leaks(df, bench).collect()
     found = {(r.doc_id, r.item_id) for r in got}
     assert len(found & set(truth)) >= 0.97 * len(truth) and (122, 0) in found
@@ -183,6 +183,40 @@ def test_leaks_within_the_distance(spark):
     assert decontamination.leaks(df, bench.limit(0)).count() == 0 and decontamination.leaks(df.limit(0), bench).count() == 0
 
 
+def test_short_items_and_unspaced_scripts_match_exactly(spark):
+    items = [(1, "What is 2 + 2?"), (2, "Zanzibar"), (3, "水は何度で沸騰しますか"), (4, "one two")]
+    texts = ["So, what is 2+2? he said", "what is two and 2", "off to ZANZIBAR!", "先生は「水は何度で沸騰しますか」と聞いた", "水は何度で", "two one", "one, two", None]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[6])], "doc_id bigint, text string")
+    got = decontamination.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.item_id) for r in got) == [("0", 1), ("0", 1), ("2", 2), ("3", 3), ("6", 4), ("None", 4)]
+
+
+def test_windows_are_verified_where_repetitions_run_out(monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(100)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(20)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for at in (2, 9, 15, 20, 25, 28):
+            w[at] = "zzz"
+        texts.append("before it " + " ".join(w) + " after it")
+    monkeypatch.setattr(decontamination, "MAX_REPETITIONS", 1)
+    index = decontamination.BenchmarkIndex(items)
+    assert index.sizes[0].exhaustive
+    found = {(t, k): (p, d) for t, k, p, _, d in index.find(texts)}
+    assert all(found[k, k] == (2, 6) for k in range(20))
+
+
+def test_the_index_grows_with_its_items_alone():
+    import pickle
+
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(rng.randint(20, 60)))) for i in range(1500)]
+    text = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontamination.BenchmarkIndex(items))) < 30 * text
+
+
 def test_blocks_of_items_find_the_same(spark):
     items = [(i, f"alpha{i} beta gamma delta epsilon zeta eta {i}") for i in range(30)]
     df = spark.createDataFrame([(i, "so " + t + " it goes") for i, t in items], "doc_id bigint, text string")
