@@ -12,23 +12,11 @@ from cairn.functions import confidence as C
 from cairn.functions import identity as I
 from cairn.operators import belief, chain, changes, community, embedding, export, federation, fusion, governance, lineage, resolve, stats
 from cairn.operators.graph import Graph, Query, top_scores
+from cairn.plans.fixpoint import with_paths
+from cairn.registry import QUERIES, SQL, query
 
 ROOT, DEEP = "nation:3", "order:32"
 Session, Rows = SparkSession, DataFrame
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def _scores(df: DataFrame, *columns: str) -> DataFrame:
@@ -183,7 +171,7 @@ def execute_query(spark: Session, sf: str) -> Rows:
     r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hop, score DESC, way) AS k FROM p) SELECT node, hop, way, round(score, 6) AS score FROM r WHERE k = 1 AND hop > 0"""
 )
 def bfs_paths(spark: Session, sf: str) -> Rows:
-    r = T.graph(spark, sf).reach(Query(DEEP, max_depth=3)).where("hop > 0")
+    r = with_paths(T.graph(spark, sf).reach(Query(DEEP, max_depth=3))).where("hop > 0")
     return r.select("node", "hop", F.array_join("path", ">").alias("way"), F.round("confidence", 6).alias("score"))
 
 
@@ -237,9 +225,7 @@ def topo_levels(spark: Session, sf: str) -> Rows:
 # Changes: hunks cover line ranges, orders play nodes with spans of lines
 
 
-_SPANS_SQL = "spans AS (SELECT 'order:' || l_orderkey AS address, 's' || (l_orderkey % 7) AS path, min(l_partkey) AS a, min(l_partkey) + count(*) AS z FROM lineitem GROUP BY l_orderkey), hunks AS (SELECT 's' || (p_partkey % 7) AS path, p_partkey AS new_start, p_size AS new_lines FROM part WHERE p_partkey % 100 = 0)"
-#: The same over all parts.
-_ALL_SPANS_SQL = _SPANS_SQL.replace(" WHERE p_partkey % 100 = 0", "")
+_SPANS_SQL = "spans AS (SELECT 'order:' || l_orderkey AS address, 's' || (l_orderkey % 7) AS path, min(l_partkey) AS a, min(l_partkey) + count(*) AS z FROM lineitem GROUP BY l_orderkey), hunks AS (SELECT 's' || (p_partkey % 7) AS path, p_partkey AS new_start, p_size AS new_lines FROM part)"
 
 
 def _spans(spark: Session, sf: str) -> DataFrame:
@@ -248,15 +234,11 @@ def _spans(spark: Session, sf: str) -> DataFrame:
     return g.select(T._id("order", "l_orderkey").alias("address"), F.concat(F.lit("s"), (F.col("l_orderkey") % 7).cast("string")).alias("path"), span.alias("span"))
 
 
-def _all_hunks(spark: Session, sf: str) -> DataFrame:
+def _hunks(spark: Session, sf: str) -> DataFrame:
     p = T.table(spark, sf, "part")
     return p.select(F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("path"), F.col("p_partkey").alias("new_start"), F.col("p_size").alias("new_lines"))
 
 
-def _hunks(spark: Session, sf: str) -> DataFrame:
-    return _all_hunks(spark, sf).where("new_start % 100 = 0")
-
-
 _OVER = "s.a < h.new_start + h.new_lines AND s.z >= h.new_start"
 
 
@@ -271,17 +253,6 @@ def changed_nodes_any_file(spark: Session, sf: str) -> Rows:
     return changes.changed_nodes(_spans(spark, sf), _hunks(spark, sf))
 
 
-@query(f"WITH {_ALL_SPANS_SQL} SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}")
-def changed_nodes_all(spark: Session, sf: str) -> Rows:
-    s = _spans(spark, sf)
-    return changes.changed_nodes(s, _all_hunks(spark, sf), s)
-
-
-@query(f"WITH {_ALL_SPANS_SQL} SELECT DISTINCT address FROM spans s JOIN hunks h ON {_OVER}")
-def changed_nodes_any_file_all(spark: Session, sf: str) -> Rows:
-    return changes.changed_nodes(_spans(spark, sf), _all_hunks(spark, sf))
-
-
 @query(f"WITH {T.EDGES_SQL}, {_SPANS_SQL}, c AS (SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}) SELECT relation, count(*) AS edges FROM edges WHERE source IN (SELECT address FROM c) OR target IN (SELECT address FROM c) GROUP BY relation")
 def affected_edges(spark: Session, sf: str) -> Rows:
     s = _spans(spark, sf)
@@ -289,13 +260,6 @@ def affected_edges(spark: Session, sf: str) -> Rows:
     return e.groupBy("relation").agg(F.count("*").alias("edges"))
 
 
-@query(f"WITH {T.EDGES_SQL}, {_ALL_SPANS_SQL}, c AS (SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}) SELECT relation, count(*) AS edges FROM edges WHERE source IN (SELECT address FROM c) OR target IN (SELECT address FROM c) GROUP BY relation")
-def affected_edges_all(spark: Session, sf: str) -> Rows:
-    s = _spans(spark, sf)
-    e = changes.affected_edges(T.graph(spark, sf), changes.changed_nodes(s, _all_hunks(spark, sf), s))
-    return e.groupBy("relation").agg(F.count("*").alias("edges"))
-
-
 @query(
     f"""WITH RECURSIVE {T.EDGES_SQL}, {_SPANS_SQL}, c AS (SELECT DISTINCT address FROM spans s JOIN hunks h ON s.path = h.path AND {_OVER}),
     d(node, score, hop) AS (SELECT address, 1.0::DOUBLE, 0 FROM c UNION ALL SELECT e.target, d.score * e.confidence, d.hop + 1 FROM d JOIN edges e ON e.source = d.node WHERE d.hop < 6),
@@ -329,6 +293,46 @@ def component_members(spark: Session, sf: str) -> Rows:
     return community.component_labels(T.graph(spark, sf), ("Imports",), 0.995)
 
 
+_RING = """ring AS (SELECT 'nation:' || n_nationkey AS source, 'nation:' || ((n_nationkey + 1) % 25) AS target, 0.9::DOUBLE AS confidence FROM nation
+    UNION ALL SELECT 'nation:' || n_nationkey, 'nation:' || ((n_nationkey * 7 + 3) % 25), 0.5 + n_nationkey / 100 FROM nation)"""
+
+
+def _ring(spark: Session, sf: str) -> Graph:
+    """A graph that is all cycles."""
+    n = T.table(spark, sf, "nation")
+    to = lambda e: F.concat(F.lit("nation:"), F.expr(e).cast("string")).alias("target")
+    one = n.select(T._id("nation", "n_nationkey").alias("source"), to("(n_nationkey + 1) % 25"), F.lit("Calls").alias("relation"), F.lit(0.9).alias("confidence"))
+    two = n.select(T._id("nation", "n_nationkey").alias("source"), to("(n_nationkey * 7 + 3) % 25"), F.lit("Calls").alias("relation"), (0.5 + F.col("n_nationkey") / 100).alias("confidence"))
+    return Graph(n.select(T._id("nation", "n_nationkey").alias("address")), one.unionByName(two))
+
+
+@query(f"WITH RECURSIVE {_RING}, walk(root, node, score) AS (SELECT source, source, 1.0::DOUBLE FROM ring UNION SELECT w.root, r.target, w.score * r.confidence FROM walk w JOIN ring r ON r.source = w.node WHERE w.score * r.confidence >= 0.3) SELECT root, node, round(max(score), 6) AS score FROM walk GROUP BY root, node")
+def cyclic_impact(spark: Session, sf: str) -> Rows:
+    g = _ring(spark, sf)
+    return _scores(g.attenuated(g.nodes.select(F.col("address").alias("node")), 1.0, 0.3), "root", "node")
+
+
+@query(f"WITH RECURSIVE {_RING}, walk(root, node, hop) AS (SELECT DISTINCT source, source, 0 FROM ring UNION SELECT w.root, r.target, w.hop + 1 FROM walk w JOIN ring r ON r.source = w.node WHERE w.hop < 12) SELECT root, node, min(hop) AS hop FROM walk GROUP BY root, node")
+def cyclic_levels(spark: Session, sf: str) -> Rows:
+    from cairn.plans.fixpoint import breadth_first
+
+    g = _ring(spark, sf)
+    return breadth_first(g.oriented(I.Direction.DOWNSTREAM), g.nodes.select(F.col("address").alias("node"))).select("root", "node", "hop")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey + 1 + c_custkey % 3 AS z FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT a, z FROM e UNION SELECT z, a FROM e),
+    r(node, root) AS (SELECT a, a FROM b UNION SELECT b.z, r.root FROM r JOIN b ON r.node = b.a) SELECT 'c' || node AS node, 'c' || min(root) AS root FROM r GROUP BY node"""
+)
+def chained_components(spark: Session, sf: str) -> Rows:
+    """Chains and forks of customers: components that no single grouping finds."""
+    from cairn.plans.components import connected_components
+
+    c = T.table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("bigint").alias("a"), F.expr("cast(c_custkey + 1 + c_custkey % 3 as bigint)").alias("b"))
+    got = connected_components(c)
+    return got.select(F.concat(F.lit("c"), F.col("node").cast("string")).alias("node"), F.concat(F.lit("c"), F.col("root").cast("string")).alias("root"))
+
+
 _TRADE = "trade AS (SELECT DISTINCT 'nation:' || c_nationkey AS source, 'nation:' || s_nationkey AS target FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE abs(c_nationkey - s_nationkey) = 1)"
 
 
@@ -353,7 +357,7 @@ def trace_between(spark: Session, sf: str) -> Rows:
 )
 def trace_depth_stats(spark: Session, sf: str) -> Rows:
     nodes = T.table(spark, sf, "nation").select(T._id("nation", "n_nationkey").alias("node"))
-    d = federation.trace_depths(_trade(spark, sf).cache(), nodes, 30)
+    d = federation.trace_depths(_trade(spark, sf), nodes)
     return d.select("pairs", "min_depth", "max_depth", F.round("mean_depth", 6).alias("mean_depth"))
 
 
@@ -368,20 +372,11 @@ def lineage_chain(spark: Session, sf: str) -> Rows:
     return lineage.lineage_chain(lineage.record_mutations(rec), "part:20")
 
 
-@query(
-    """WITH held AS (SELECT DISTINCT c_nationkey AS ord, 'repo' || c_nationkey AS repo, sha256(c_mktsegment) AS address FROM customer WHERE c_custkey % 5 = 0)
-    SELECT x.address, x.repo AS a, y.repo AS b FROM held x JOIN held y ON x.address = y.address AND x.ord < y.ord"""
-)
-def identity_edges(spark: Session, sf: str) -> Rows:
-    c = T.table(spark, sf, "customer").where("c_custkey % 5 = 0")
-    return federation.shared_addresses(c.select(F.col("c_nationkey").alias("repo_ord"), F.concat(F.lit("repo"), F.col("c_nationkey").cast("string")).alias("repo"), I.address_of("c_mktsegment").alias("address")))
-
-
 @query(
     """WITH held AS (SELECT DISTINCT c_nationkey AS ord, 'repo' || c_nationkey AS repo, sha256(c_mktsegment) AS address FROM customer)
     SELECT x.address, x.repo AS a, y.repo AS b FROM held x JOIN held y ON x.address = y.address AND x.ord < y.ord"""
 )
-def identity_edges_all(spark: Session, sf: str) -> Rows:
+def identity_edges(spark: Session, sf: str) -> Rows:
     c = T.table(spark, sf, "customer")
     return federation.shared_addresses(c.select(F.col("c_nationkey").alias("repo_ord"), F.concat(F.lit("repo"), F.col("c_nationkey").cast("string")).alias("repo"), I.address_of("c_mktsegment").alias("address")))
 
@@ -437,13 +432,8 @@ def innermost_span(spark: Session, sf: str) -> Rows:
     return resolve.innermost_span(pts, _spans(spark, sf).select("path", "address", "span.start_line", "span.end_line"))
 
 
-@query(f"WITH {T.EDGES_SQL}, c AS (SELECT source, target FROM edges WHERE relation = 'Contains' AND target LIKE 'nation:%') SELECT a.target AS node, b.target AS sibling FROM c a JOIN c b ON a.source = b.source AND a.target <> b.target")
-def siblings(spark: Session, sf: str) -> Rows:
-    return resolve.siblings(T.fused_edges(spark, sf).where(F.col("target").startswith("nation:")))
-
-
 @query(f"WITH {T.EDGES_SQL}, c AS (SELECT source, target FROM edges WHERE relation = 'Contains') SELECT a.target AS node, b.target AS sibling FROM c a JOIN c b ON a.source = b.source AND a.target <> b.target")
-def siblings_all(spark: Session, sf: str) -> Rows:
+def siblings(spark: Session, sf: str) -> Rows:
     return resolve.siblings(T.fused_edges(spark, sf))
 
 
@@ -460,22 +450,11 @@ def freshness_diff(spark: Session, sf: str) -> Rows:
     return resolve.freshness(old, new)
 
 
-@query(
-    """WITH d AS (SELECT l_orderkey AS path, l_linestatus AS name, l_partkey AS a, l_partkey + 5 AS z, l_linenumber * 1000000 + l_partkey AS k FROM lineitem), u AS (SELECT l_orderkey AS path, l_linestatus AS name, l_partkey + 100 AS a, l_partkey + 104 AS z FROM lineitem WHERE l_linenumber = 2),
-    m AS (SELECT u.path, u.name, u.a AS use_start, d.a AS def_start, row_number() OVER (PARTITION BY u.path, u.name, u.a, u.z ORDER BY d.k) AS r FROM u JOIN d ON u.path = d.path AND u.name = d.name AND u.a > d.z) SELECT path, name, use_start, def_start FROM m WHERE r = 1"""
-)
-def def_use_earliest(spark: Session, sf: str) -> Rows:
-    n = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.lit(0).alias("scope"), F.col("l_linestatus").alias("name"), "l_partkey", "l_linenumber")
-    d = n.select("path", "scope", "name", F.col("l_partkey").alias("start_byte"), (F.col("l_partkey") + 5).alias("end_byte"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"))
-    u = n.where("l_linenumber = 2").select("path", "scope", "name", (F.col("l_partkey") + 100).alias("start_byte"), (F.col("l_partkey") + 104).alias("end_byte"))
-    return resolve.def_use(d, u).select("path", "name", "use_start", "def_start")
-
-
 @query(
     """WITH d AS (SELECT l_orderkey AS path, l_linestatus AS name, l_partkey AS a, l_partkey + 5 AS z, l_linenumber * 1000000 + l_partkey AS k FROM lineitem), u AS (SELECT DISTINCT l_orderkey AS path, l_linestatus AS name, l_partkey + 100 AS a, l_partkey + 104 AS z FROM lineitem),
     m AS (SELECT u.path, u.name, u.a AS use_start, d.a AS def_start, row_number() OVER (PARTITION BY u.path, u.name, u.a, u.z ORDER BY d.k) AS r FROM u JOIN d ON u.path = d.path AND u.name = d.name AND u.a > d.z) SELECT path, name, use_start, def_start FROM m WHERE r = 1"""
 )
-def def_use_earliest_all(spark: Session, sf: str) -> Rows:
+def def_use_earliest(spark: Session, sf: str) -> Rows:
     n = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.lit(0).alias("scope"), F.col("l_linestatus").alias("name"), "l_partkey", "l_linenumber")
     d = n.select("path", "scope", "name", F.col("l_partkey").alias("start_byte"), (F.col("l_partkey") + 5).alias("end_byte"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"))
     u = n.select("path", "scope", "name", (F.col("l_partkey") + 100).alias("start_byte"), (F.col("l_partkey") + 104).alias("end_byte"))
@@ -575,17 +554,26 @@ def branch_targets(spark: Session, sf: str) -> Rows:
 # Chains and governance
 
 
-_CHAIN = "c AS (SELECT user_id AS log, event_id AS pos, event_type || ':' || event_id AS row FROM events), h AS (SELECT *, substr(sha256(row || 'x'), 1, 16) AS chain_hash FROM c)"
+#: Every user has a log; every 37th event was changed after it was written, so its own row fails and no other.
+_CHAIN = """c AS (SELECT user_id AS log, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_type || ':' || event_id AS row, event_id % 37 = 0 AS forged FROM events),
+    h(log, pos, chain_hash) AS (SELECT log, 0::BIGINT, 'g' FROM c WHERE pos = 1 UNION ALL SELECT c.log, c.pos, substr(sha256(c.row || h.chain_hash), 1, 16) FROM h JOIN c ON c.log = h.log AND c.pos = h.pos + 1),
+    k AS (SELECT h.log, h.pos, CASE WHEN c.forged THEN 'forged' ELSE c.row END AS row, h.chain_hash, p.chain_hash AS prev FROM h JOIN c ON c.log = h.log AND c.pos = h.pos JOIN h p ON p.log = h.log AND p.pos = h.pos - 1)"""
 
 
-@query(
-    f"""WITH {_CHAIN}, w AS (SELECT *, lag(chain_hash, 1, 'g') OVER (PARTITION BY log ORDER BY pos) AS prev FROM h)
-    SELECT log, pos, substr(sha256(row || prev), 1, 16) AS expected, substr(sha256(row || prev), 1, 16) = chain_hash AS ok FROM w"""
-)
+def _logs(spark: Session, sf: str) -> DataFrame:
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("log"), "event_id", F.concat_ws(":", "event_type", "event_id").alias("row"))
+    linked = chain.link(e, "g", order="event_id", log="log")
+    return linked.withColumn("row", F.when(F.col("event_id") % 37 == 0, "forged").otherwise(F.col("row")))
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT log, pos, chain_hash FROM h WHERE pos > 0")
+def chain_append(spark: Session, sf: str) -> Rows:
+    return _logs(spark, sf).select("log", "pos", "chain_hash")
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT log, pos, substr(sha256(row || prev), 1, 16) AS expected, substr(sha256(row || prev), 1, 16) = chain_hash AS ok FROM k")
 def chain_verify(spark: Session, sf: str) -> Rows:
-    e = T.table(spark, sf, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("pos"), F.concat_ws(":", "event_type", "event_id").alias("row"))
-    e = e.withColumn("chain_hash", chain.row_hash_column(F.col("row"), F.lit("x")))
-    return chain.verify(e, "g", log="log").select("log", "pos", "expected", "ok")
+    return chain.verify(_logs(spark, sf), "g", log="log").select("log", "pos", "expected", "ok")
 
 
 @query(
@@ -643,10 +631,13 @@ def beliefs_by_actor(spark: Session, sf: str) -> Rows:
     return belief.beliefs_by_actor(_beliefs(spark, sf)[0], "actor0").select("address", F.col("provenance.justification").alias("justification"))
 
 
-@query("""SELECT '{"data":{"id":"nation:' || n_nationkey || '","kind":"Symbol","confidence":1.0,"label":"Symbol"}}' AS json FROM nation UNION ALL SELECT '{"data":{"source":"region:' || n_regionkey || '","target":"nation:' || n_nationkey || '","relation":"Contains","confidence":1.0}}' FROM nation""")
+@query(
+    f"""WITH {T.EDGES_SQL}, {T.NODES_SQL} SELECT '{{"data":{{"id":"' || id || '","kind":"Symbol","confidence":1.0,"label":"Symbol"}}}}' AS json FROM nodes
+    UNION ALL SELECT '{{"data":{{"source":"' || source || '","target":"' || target || '","relation":"' || relation || '","confidence":1.0}}}}' FROM edges WHERE relation = 'Contains'"""
+)
 def cytoscape_export(spark: Session, sf: str) -> Rows:
     g = T.graph(spark, sf)
-    n, e = export.cytoscape_rows(g.nodes.where(F.col("address").startswith("nation:")), g.edges.where(F.col("target").startswith("nation:")), 0.5, ("Contains",))
+    n, e = export.cytoscape_rows(g.nodes, g.edges, 0.5, ("Contains",))
     return n.unionByName(e)
 
 
@@ -665,8 +656,12 @@ def sequential_edges(spark: Session, sf: str) -> Rows:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from cairn import catalog_code  # noqa: F401  registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from cairn import catalog_code  # noqa: F401
+
+    return dict(SQL)

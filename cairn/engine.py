@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from cairn.extract import pipeline
 from cairn.functions.identity import Direction, address, file_address, node_label
-from cairn.operators import belief, changes, export, federation, governance, resolve, stats
+from cairn.operators import belief, changes, export, federation, governance, overlays, resolve, stats
 from cairn.operators.graph import Graph, Query, top_scores
 from cairn.operators import experiment as exp
 from cairn.plans.checkpoint import cut
+from cairn.plans.fixpoint import kept
 from cairn.sources import config, files, git, logs
-from cairn.sources.store import Store, add_beliefs, counts, load_json, save_json
+from cairn.sources.store import FileCache, Store, add_beliefs, counts, load_json, save_json
 
 TOOLCHAIN = "cairn-1"
 FUSED = "custom_fused"
@@ -59,20 +60,43 @@ class Engine:
         meta = self.store.load_meta()
         if meta is None:
             return {"is_fresh": False, "files_changed": 0, "files_added": 0, "files_removed": 0, "last_indexed": 0}
-        r = resolve.freshness(self.store.indexed_hashes(), files.file_hashes(self.sources())).first()
+        indexed = self.store.indexed_files()
+        r = resolve.freshness(indexed, files.current_hashes(self.sources(), indexed)).first()
         return {"is_fresh": r.is_fresh, "files_changed": r.changed, "files_added": r.added, "files_removed": r.removed, "last_indexed": meta["timestamp"]}
 
     def index(self, force: bool = False) -> dict:
         """Extract, resolve, fuse and store; nothing is done for a fresh index unless forced."""
         if not force and self.freshness()["is_fresh"]:
-            return {"status": "fresh", **{k: v for k, v in (self.store.load_meta() or {}).items() if k != "source_hashes"}}
+            return {"status": "fresh", **(self.store.load_meta() or {})}
         source = self.sources()
         if source.isEmpty():
             raise FileNotFoundError(f"no supported files in {self.source_dir}")
-        graph = pipeline.index(source)
+        ir = self.read_rows(source)
+        graph = pipeline.fused(source, ir)
         self.store.write(FUSED, graph.nodes, graph.edges)
+        for name, (nodes, edges) in pipeline.derived_overlays(ir).items():
+            self.store.write(name, nodes, edges)
         meta = self.store.save_meta(files.file_hashes(source), self.store.read(FUSED))
-        return {"status": "indexed", **{k: v for k, v in meta.items() if k != "source_hashes"}}
+        return {"status": "indexed", **meta, "failed": [r.asDict() for r in pipeline.failures(ir).orderBy("path").limit(100).collect()]}
+
+    def read_rows(self, source: DataFrame) -> DataFrame:
+        """What readers find in the sources; files that were read before come from the parse cache."""
+        return cut(pipeline.extract_cached(source, FileCache(self.spark, self.store_dir)))
+
+    def add_trace(self, path: str) -> int:
+        """Store the runtime overlay of a trace; returns its number of edges."""
+        symbols = pipeline.symbols(self.read_rows(self.sources()))
+        self.store.write("runtime", *overlays.runtime_overlay(logs.read_trace(self.spark, path), symbols))
+        return self.store.read("runtime").edges.count()
+
+    def add_scip(self, path: str) -> int:
+        """Store the overlay of a symbol dump; returns its number of edges."""
+        self.store.write("custom_scip", *overlays.scip_overlay(logs.read_scip(self.spark, path)))
+        return self.store.read("custom_scip").edges.count()
+
+    def add_embeddings(self, path: str) -> int:
+        self.store.write_embeddings(logs.read_embeddings(self.spark, path))
+        return self.store.read_embeddings().count()
 
     def reindex(self, actor: str) -> dict:
         """Rebuild after the write gate; a stale index is what it is for, so freshness isn't required."""
@@ -125,13 +149,17 @@ class Engine:
         return {"changed": got.changed.count(), "affected_edges": got.affected_edges.count(), "blast_radius": self._blast(g, got.impact, 50), "stale": got.staleness.where("score > 0.01").count(), "meta": self.meta()}
 
     def trace(self, entrypoint: str, max_depth: int = 1) -> dict:
-        """Calls from file:line, or from the process of that name."""
+        """Calls from file:line, or from where the process of that name starts."""
         g = self.graph()
         file, _, line = entrypoint.rpartition(":")
-        start = self.locate(g, file, int(line)) if file and line.isdigit() else address(f"process:{entrypoint}")
-        if g.node(start).isEmpty():
+        if file and line.isdigit():
+            starts = [self.locate(g, file, int(line))]
+        else:
+            parts = self.store.read_or_empty("process").edges.where((F.col("target") == address(f"process:{entrypoint}")) & (F.col("confidence") == 1.0))
+            starts = [r["source"] for r in parts.select("source").distinct().collect()]  # functions of that name
+        if not starts:
             raise LookupError(f"no entry point {entrypoint!r}")
-        reached = g.reach(Query(start, max_depth=max_depth, relations=("Calls", "PartOfProcess"))).orderBy("hop", "node")
+        reached = overlays.breadth_first(g.oriented(Direction.DOWNSTREAM, ("Calls",)), g.roots(*starts), max_depth).orderBy("hop", "node")
         return {"chain": [r.asDict() for r in reached.select("node", "hop", "confidence").collect()], "meta": self.meta()}
 
     def assert_belief(self, claim: str, file: str, line: int, confidence: float, actor: str) -> str:
@@ -152,7 +180,8 @@ class Engine:
 
     def experiment(self, log: str, iterations: int, fitness: str = "ImpactAccuracy", model: Callable[[str], str] | None = None) -> exp.Result | None:
         g = self.store.read_or_empty(FUSED)
-        return exp.run_continuous(Graph(g.nodes.persist(), g.edges.persist()), log, iterations, fitness, model=model)
+        with kept(g.nodes) as nodes, kept(g.edges) as edges:
+            return exp.run_continuous(Graph(nodes, edges), log, iterations, fitness, model=model)
 
     def experiment_start(self, log: str, iterations: int) -> str:
         """Run in the background; one at a time."""
@@ -206,10 +235,23 @@ def federate(spark: SparkSession, config_path: str, store_dir: str) -> dict:
     wanted = packages.select("repo", F.explode("deps").alias("dep")).join(packages.select(F.col("package").alias("dep"), F.col("repo").alias("other")), "dep").where("repo <> other")
     edges = edges.unionByName(federation.cross_repository_imports(imports, symbols, wanted)) if symbols is not None else edges
     Store(spark, store_dir).write("custom_federated", nodes, edges)
-    save_json(f"{store_dir}/workspace.json", {"workspace_id": ws.workspace_id, "repositories": [r.name for r in ws.repositories]})
+    save_json(spark, f"{store_dir}/workspace.json", {"workspace_id": ws.workspace_id, "repositories": [r.name for r in ws.repositories]})
     return {"repositories": len(ws.repositories), "edges": Store(spark, store_dir).read("custom_federated").edges.count()}
 
 
+def federated_graph(spark: SparkSession, config_path: str, store_dir: str) -> Graph:
+    """All repositories' stored graphs and the links between them, to be queried as one graph."""
+    graphs = [Store(spark, r.store_dir).fused_with_beliefs() for r in config.load_workspace(config_path).repositories]
+    links = Store(spark, store_dir).read_or_empty("custom_federated")
+    return federation.federated([*graphs, Graph(links.nodes, links.edges.limit(0))], federation.ordered_links(links.edges))
+
+
+def workspace_context(spark: SparkSession, config_path: str, store_dir: str, target: str, depth: int = 1, direction: str = "downstream") -> dict:
+    """What is around an address, across repositories."""
+    got = federated_graph(spark, config_path, store_dir).execute(Query(target, Direction.parse(direction, strict=False), depth))
+    return {"nodes": [r.asDict() for r in got.nodes.select("address", "kind", "confidence").orderBy("address").collect()], "edges": got.edges.count(), "paths": got.paths.count()}
+
+
 def workspace_trace(spark: SparkSession, store_dir: str, from_repo: str, to_repo: str) -> list[dict]:
     """Edges of a shortest path between two repositories; nothing for unknown, equal or unreachable ones."""
     g = Store(spark, store_dir).read_or_empty("custom_federated")
@@ -217,7 +259,7 @@ def workspace_trace(spark: SparkSession, store_dir: str, from_repo: str, to_repo
 
 
 def workspace_report(spark: SparkSession, store_dir: str) -> dict:
-    ws, g = load_json(f"{store_dir}/workspace.json"), Store(spark, store_dir).read_or_empty("custom_federated")
+    ws, g = load_json(spark, f"{store_dir}/workspace.json"), Store(spark, store_dir).read_or_empty("custom_federated")
     scopes = g.nodes.where("kind = 'Scope'").select(F.col("address").alias("node"))
     between = g.edges.join(scopes.withColumnRenamed("node", "source"), "source", "left_semi").join(scopes.withColumnRenamed("node", "target"), "target", "left_semi")
     depth = federation.trace_depths(between, scopes).first().asDict()

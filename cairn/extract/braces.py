@@ -7,10 +7,14 @@ don't know.
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from dataclasses import dataclass
 
 from .rows import Rows
 
+#: A reading step that may ask for another one and gets its result; see `run_deep`.
+Step = Generator["Step", int, int]
+
 _TOKEN = re.compile(
     rb"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))
     |(?P<string>r(?P<raw>\#*)".*?"(?P=raw)|b?"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`)
@@ -66,6 +70,19 @@ def tokens(source: bytes, single_quoted: bool) -> list[Token]:
     return out
 
 
+def run_deep(step: Step) -> int:
+    """Run a step and all it asks for on a list of its own, so that nesting is bounded by memory alone."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 class Reader:
     def __init__(self, rows: Rows, single_quoted: bool):
         self.rows = rows
@@ -101,13 +118,13 @@ class Rust(Reader):
         super().__init__(rows, False)
 
     def run(self) -> None:
-        self.items(0, self.n, True)
+        run_deep(self.items(0, self.n, True))
 
     def item_end(self, i: int, stop: int) -> int:
         end = self.find(i, stop, ";", "{")
         return self.skip(end) if end < stop else stop
 
-    def items(self, i: int, stop: int, top: bool) -> None:
+    def items(self, i: int, stop: int, top: bool) -> Step:
         """Declarations at this level and in blocks below it, in source order."""
         tested = False
         start: int | None = None
@@ -129,18 +146,18 @@ class Rust(Reader):
                 i += 1
                 continue
             if word in self._SYNTAX and self.t[i].kind == "word" and not (word == "use" and self.text(i - 1) == "."):
-                i = self.declaration(word, i, stop, i if start is None else start, top, tested)
+                i = yield self.declaration(word, i, stop, i if start is None else start, top, tested)
                 tested, start = False, None
                 continue
             start = None
             if self.t[i].kind == "mark" and self.t[i].mate > i:
-                self.items(i + 1, self.t[i].mate, False)
+                yield self.items(i + 1, self.t[i].mate, False)
                 i = self.t[i].mate + 1
                 tested = tested and not top
                 continue
             i += 1
 
-    def declaration(self, word: str, i: int, stop: int, start: int, top: bool, tested: bool) -> int:
+    def declaration(self, word: str, i: int, stop: int, start: int, top: bool, tested: bool) -> Step:
         named = self.word(i + 1) and word not in ("impl", "use")
         end = self.item_end(i + 1, stop) if word != "fn" or named else i + 1
         if not named and word not in ("impl", "use"):
@@ -163,10 +180,10 @@ class Rust(Reader):
             if top:
                 if name == "main" or tested or self.text(start) == "pub":
                     self.rows.add("entry", name, *here)
-                self.block(body, here[0])
+                yield self.block(body, here[0])
                 self.names(body + 1, close, here[0])
         if has_body:
-            self.items(body + 1, self.t[body].mate, False)
+            yield self.items(body + 1, self.t[body].mate, False)
         return end
 
     def implementation(self, i: int, body: int, start: int, end: int) -> None:
@@ -230,49 +247,52 @@ class Rust(Reader):
             out.append((start, i))
         return out
 
-    def block(self, body: int, scope: int) -> None:
+    def block(self, body: int, scope: int) -> Step:
         found = self.statements(body)
         for a, b in zip(found, found[1:]):
             self.rows.add("control", None, *self.span(*a), "Sequential", other=self.span(*b), scope=scope)
         for a, z in found:
-            self.structure(a, z, scope)
+            yield self.structure(a, z, scope)
 
-    def structure(self, a: int, z: int, scope: int) -> None:
+    def structure(self, a: int, z: int, scope: int) -> Step:
         word = self.text(a)
         if self.t[a].kind == "life":
-            return self.structure(a + 2, z, scope)
+            yield self.structure(a + 2, z, scope)
+            return
         if word == "return":
             self.rows.add("control", None, *self.span(a, z), "Return", other=self.span(a, z), scope=scope)
         elif word == "if":
-            self.branch(a, z, scope)
+            yield self.branch(a, z, scope)
         elif word in ("loop", "while", "for"):
             body = self.find(a + 1, z, "{")
             if body < z:
                 self.rows.add("control", None, *self.span(body, self.skip(body)), "BackEdge", other=self.span(a, self.skip(body)), scope=scope)
-                self.block(body, scope)
+                yield self.block(body, scope)
         elif word == "match":
             body = self.find(a + 1, z, "{")
             if body < z:
                 for arm in self.arms(body):
                     self.rows.add("control", None, *self.span(a, self.skip(body)), "Branch", other=arm, scope=scope)
 
-    def branch(self, a: int, z: int, scope: int) -> None:
+    def branch(self, a: int, z: int, scope: int, last: int = 0) -> Step:
+        """An if with what follows it; `last` is the end of the chain of elses that it is in."""
         body = self.find(a + 1, z, "{")
         if body >= z:
             return
         end = self.skip(body)
-        last = end
-        while self.text(last) == "else" and last < z:
-            last = self.skip(self.find(last + 1, z, "{"))
+        if not last:
+            last = end
+            while self.text(last) == "else" and last < z:
+                last = self.skip(self.find(last + 1, z, "{"))
         here = self.span(a, last)
         self.rows.add("control", None, *here, "Branch", other=self.span(body, end), scope=scope)
-        self.block(body, scope)
+        yield self.block(body, scope)
         if self.text(end) == "else" and end < z:
             self.rows.add("control", None, *here, "Branch", other=self.span(end, last), scope=scope)
             if self.text(end + 1) == "if":
-                self.branch(end + 1, z, scope)
+                yield self.branch(end + 1, z, scope, last)
             elif self.text(end + 1) == "{":
-                self.block(end + 1, scope)
+                yield self.block(end + 1, scope)
 
     def arms(self, body: int) -> list[tuple[int, int]]:
         out, i, stop = [], body + 1, self.t[body].mate
@@ -316,6 +336,8 @@ class TypeScript(Reader):
     def run(self) -> None:
         self.imports()
         self.functions: list[tuple[int, int]] = []
+        self.members: list[tuple[int, int]] = []  # brackets around the members of enums
+        self.ends: dict[int, int] = {}  # of statements that were read already
         for i in range(self.n):
             if self.t[i].kind != "word" or self.text(i - 1) == ".":
                 if self.text(i) == "=>":
@@ -365,6 +387,8 @@ class TypeScript(Reader):
         self.rows.add("symbol", name, *here, kind, syntax)
         if word == "function":
             self.functions.append(here)
+        if word == "enum" and self.text(end - 1) == "}":
+            self.members.append((self.t[end - 1].mate, end - 1))
         if word == "class":
             k = i + 2
             while k < end and self.text(k) != "{":
@@ -379,16 +403,23 @@ class TypeScript(Reader):
 
     def statement_end(self, i: int) -> int:
         """Behind the statement that starts at i: a block, or up to its semicolon."""
+        return run_deep(self._behind(i))
+
+    def _behind(self, i: int) -> Step:
+        if i in self.ends:
+            return self.ends[i]
         if self.text(i) == "{":
-            return self.skip(i)
-        if self.text(i) in ("if", "for", "while", "switch"):
+            z = self.skip(i)
+        elif self.text(i) in ("if", "for", "while", "switch"):
             z = self.skip(i + 1) if self.text(i + 1) == "(" else i + 1
-            z = self.statement_end(z)
+            z = yield self._behind(z)
             while self.text(i) == "if" and self.text(z) == "else":
-                z = self.statement_end(z + 1)
-            return z
-        z = self.find(i, self.n, ";", "}")
-        return z + 1 if self.text(z) == ";" else z
+                z = yield self._behind(z + 1)
+        else:
+            z = self.find(i, self.n, ";", "}")
+            z += self.text(z) == ";"
+        self.ends[i] = z
+        return z
 
     def flow(self, word: str, i: int) -> None:
         add = self.rows.add
@@ -420,21 +451,29 @@ class TypeScript(Reader):
             add("control", None, *self.span(i, z), "Return", other=self.span(i, z))
 
     def references(self) -> None:
+        begins, spans = {a for a, _ in self.functions}, sorted(self.functions, reverse=True)
+        declared = {k for a, z in self.members for k in range(a + 1, z) if self.text(k - 1) in ("{", ",")}
+        around: list[tuple[int, int]] = []  # functions that have begun; the last one that goes on is the innermost
+
         def caller(at: int) -> tuple[int, int]:
-            return max(((a, z) for a, z in self.functions if a <= at < z), default=(0, 0))
+            while spans and spans[-1][0] <= at:
+                around.append(spans.pop())
+            while around and around[-1][1] <= at:
+                around.pop()
+            return around[-1] if around else (0, 0)
 
         for i in range(self.n):
             if not self.word(i) or self.text(i) in TS_WORDS:
                 continue
             start = self.t[i].start
-            if self.text(i + 1) == "(" and self.text(i - 1) != "function" and (start, self.t[self.t[i + 1].mate].end if self.t[i + 1].mate > 0 else 0) not in self.functions and not any(a == start for a, _ in self.functions):
+            if self.text(i + 1) == "(" and self.text(i - 1) != "function" and start not in begins:
                 a = i
                 while self.text(a - 1) in (".", "?.") and a >= 2 and self.word(a - 2):
                     a -= 2
                 self.rows.add("call", self.text(i), *self.span(a, self.skip(i + 1)), other=caller(start))
             if self.text(i - 1) in ("const", "let", "var"):
                 self.rows.add("def", self.text(i), *self.span(i, i + 1))
-            elif self.text(i - 1) not in (".", "?.") and not (self.text(i + 1) == ":" and self.text(i - 1) in ("{", ",")):
+            elif i not in declared and self.text(i - 1) not in (".", "?.", "class", "interface", "type") and not (self.text(i + 1) == ":" and self.text(i - 1) in ("{", ",")):
                 self.rows.add("use", self.text(i), *self.span(i, i + 1))
 
 

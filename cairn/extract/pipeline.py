@@ -13,6 +13,7 @@ from cairn.operators import fusion, overlays, resolve
 from cairn.operators.graph import Graph
 from cairn.plans.checkpoint import cut
 from cairn.schema import edge_columns, node_columns, provenance
+from cairn.sources.store import FileCache
 
 from . import braces, python
 from .rows import IR, IR_NAMES, Rows
@@ -38,6 +39,25 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "content", "lang").mapInArrow(run, IR)
 
 
+def extract_cached(files: DataFrame, cache: FileCache) -> DataFrame:
+    """As `extract`, but only files whose content the cache doesn't hold are read; what they give is added to it.
+
+    Every file has a row of kind file in the cache, so that one without any other row is known too.
+    """
+    keyed = files.withColumn("file_hash", F.sha2("content", 256))
+    hashes = cut(keyed.select("path", "file_hash"))
+    fresh = cache.missing(keyed, IR)
+    seen = fresh.select("path", "lang", F.lit("file").alias("kind"), "file_hash")
+    found = extract(fresh).join(hashes, "path").unionByName(seen, allowMissingColumns=True)
+    cache.put(found.select(*IR_NAMES, "file_hash"))
+    return cache.get(hashes, IR).where("kind <> 'file'").select(*IR_NAMES)
+
+
+def failures(ir: DataFrame) -> DataFrame:
+    """(path, reason) of files that couldn't be read."""
+    return ir.where("kind = 'failed'").select("path", F.col("name").alias("reason"))
+
+
 def symbols(ir: DataFrame) -> DataFrame:
     """Symbol rows with their address."""
     return ir.where("kind = 'symbol'").withColumn("address", symbol_address("path", "syntax_kind", "name"))
@@ -80,9 +100,18 @@ def entrypoints(ir: DataFrame) -> DataFrame:
     return e.select("name", symbol_address("path", F.lit("function_item"), "name").alias("address"))
 
 
-def index(files: DataFrame) -> Graph:
+def derived_overlays(ir: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Nodes and edges of the overlays that follow from others: processes, and program dependence."""
+    flow_nodes, flows = flow(ir)
+    return {"process": overlays.process_overlay(entrypoints(ir), semantic(ir)), "pdg": (flow_nodes, overlays.dependence_edges(flows))}
+
+
+def index(files: DataFrame, cache: FileCache | None = None) -> Graph:
     """The fused graph of a table of files: one extraction pass, joins, and one shuffle to fuse."""
-    ir = cut(extract(files))
+    return fused(files, cut(extract_cached(files, cache) if cache else extract(files)))
+
+
+def fused(files: DataFrame, ir: DataFrame) -> Graph:
     syntax_nodes, contains = syntax(files, ir)
     flow_nodes, flows = flow(ir)
     nodes = fusion.dedup_nodes(fusion.union_overlays([syntax_nodes, flow_nodes]))

@@ -20,7 +20,16 @@ class _Walker:
     def body_span(self, body: list[ast.stmt]) -> tuple[int, int]:
         return self.span(body[0])[0], self.span(body[-1])[1]
 
-    def walk(self, node: ast.AST, caller: tuple[int, int]) -> None:
+    def walk(self, root: ast.AST, caller: tuple[int, int]) -> None:
+        """All nodes in source order, on a list of its own, so that nesting is bounded by memory alone."""
+        todo = [(root, caller)]
+        while todo:
+            node, caller = todo.pop()
+            caller = self.visit(node, caller)
+            todo.extend((child, caller) for child in reversed(list(ast.iter_child_nodes(node))))
+
+    def visit(self, node: ast.AST, caller: tuple[int, int]) -> tuple[int, int]:
+        """Add a node's rows; the span of the function that its children are in."""
         add = self.rows.add
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             caller = self.span(node)
@@ -33,11 +42,10 @@ class _Walker:
                     add("impl", node.name, *here, base.id)
         elif isinstance(node, ast.Call):
             f = node.func
-            name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else ast.get_source_segment(self.text.decode("utf-8", "replace"), f)
+            name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else self.text[slice(*self.span(f))].decode("utf-8", "replace")
             add("call", name, *self.span(node), other=caller)
         self.flow(node)
-        for child in ast.iter_child_nodes(node):
-            self.walk(child, caller)
+        return caller
 
     def flow(self, node: ast.AST) -> None:
         add = self.rows.add
@@ -65,11 +73,12 @@ class _Walker:
 
 
 def extract(path: str, source: bytes) -> Rows:
-    """All rows of a file; a file that can't be parsed has none."""
+    """All rows of a file; one that can't be parsed has a row of kind failed."""
     rows = Rows(path, "python", source)
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        rows.add("failed", type(e).__name__, 0, 0)
         return rows
     w = _Walker(rows)
     for node in tree.body:

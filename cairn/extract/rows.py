@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 
 IR = (
     "path string, lang string, kind string, name string, extra string, syntax_kind string, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint, "
@@ -13,11 +14,11 @@ IR_NAMES = [c.split()[0] for c in IR.split(", ")]
 
 
 class Rows:
-    """Rows of one file.  Kinds: symbol, import, call, impl, control, def, use and entry."""
+    """Rows of one file.  Kinds: symbol, import, call, impl, control, def, use, entry and failed."""
 
     def __init__(self, path: str, lang: str, source: bytes):
         self.path, self.lang, self.source, self.out = path, lang, source, []
-        self.lines = [0] + [i + 1 for i, b in enumerate(source) if b == 10]
+        self.lines = [0, *(m.end() for m in re.finditer(b"\n", source))]
 
     def line(self, at: int) -> int:
         return bisect.bisect_right(self.lines, at)

@@ -24,6 +24,28 @@ def row_hash_column(row, previous):
     return F.substring(F.sha2(F.concat(row, previous), 256), 1, 16)
 
 
+def link(rows: DataFrame, genesis: str, order: str = "pos", row: str = "row", log: str = "log") -> DataFrame:
+    """`rows` with pos (from 1, in order) and chain_hash: many logs are chained at once, each by one fold over its rows.
+
+    A chain is serial within its log, so a log has to fit in a task; `ChainWriter` appends to a single long one.
+    """
+    listed = rows.groupBy(log).agg(F.array_sort(F.collect_list(F.struct(order, row))).alias("rows"))
+    start = F.struct(F.lit(genesis).alias("last"), F.array().cast("array<string>").alias("all"))
+
+    def step(held, now):
+        h = row_hash_column(now[row], held["last"])
+        return F.struct(h.alias("last"), F.concat(held["all"], F.array(h)).alias("all"))
+
+    chained = listed.select(log, "rows", F.aggregate("rows", start, step, lambda held: held["all"]).alias("hashes"))
+    each = chained.select(log, F.posexplode(F.arrays_zip("rows", "hashes")).alias("pos", "r"))
+    return each.select(log, f"r.rows.{order}", f"r.rows.{row}", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("r.hashes").alias("chain_hash"))
+
+
+def content_chain_hash(content, previous):
+    """Column: the hash that chains a content address to the one before it."""
+    return F.sha2(F.concat(content, previous), 256)
+
+
 def verify(rows: DataFrame, genesis: str, order: str = "pos", row: str = "row", stored: str = "chain_hash", log: str | None = None) -> DataFrame:
     """Rows with expected and ok.  The stored hashes are inputs, so all rows are checked in parallel.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cairn.functions.identity import Direction
 
 from .graph import Graph
+from .resolve import blocks
 
 
 @dataclass(frozen=True)
@@ -23,16 +25,19 @@ class ChangeSet:
 def changed_nodes(nodes: DataFrame, hunks: DataFrame, contained: DataFrame | None = None) -> DataFrame:
     """Addresses of nodes whose lines a hunk (path, new_start, new_lines) covers.
 
+    Nodes and hunks meet in the blocks of lines that they cover.
     With `contained` (address, path) a hunk only touches nodes of its own file; without it, nodes of every file.
     """
     lined = nodes.where("span is not null").select("address", F.col("span.start_line").alias("a"), F.col("span.end_line").alias("z"))
     over = F.expr("a < new_start + new_lines and z >= new_start")
-    h = hunks.select("path", "new_start", "new_lines")
+    keys = ["block"]
     if contained is not None:
-        lined = lined.join(contained.select("address", "path"), "address")
-        return lined.join(h, "path").where(over).select("address").distinct()
-    spans = h.select("new_start", "new_lines").distinct()
-    return lined.join(spans, over, "left_semi").select("address").distinct()
+        lined, keys = lined.join(contained.select("address", "path"), "address"), ["path", "block"]
+    lined = lined.withColumn("block", blocks("a", "z"))
+    h = hunks.withColumn("block", blocks("new_start", F.col("new_start") + F.col("new_lines"))).select(*keys, "new_start", "new_lines").distinct()
+    h = h.toDF(*[f"h_{k}" for k in keys], "new_start", "new_lines")
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"h_{k}") for k in keys])
+    return lined.join(h, same & over, "left_semi").select("address").distinct()
 
 
 def affected_edges(graph: Graph, changed: DataFrame) -> DataFrame:

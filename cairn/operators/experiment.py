@@ -6,6 +6,7 @@ import json
 import math
 import os
 import re
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -24,7 +25,9 @@ from .stats import graph_density
 DEFAULTS = {"confidence_threshold": 0.75, "max_depth": 5.0, "attenuation_factor": 0.85}
 BOUNDS = {"confidence_threshold": (0.01, 0.99), "attenuation_factor": (0.1, 2.0), "max_depth": (1.0, 20.0)}
 SAMPLE = 10
-PLATEAU, RESTART_AT, BASE_SCALE = 10, 3, 0.2
+PLATEAU, RESTART_AT, BASE_SCALE = 10, 3, 0.1
+#: Fitness values this close count as equal, so that stability decides.
+EQUAL = 1e-4
 
 
 def sampled_symbols(graph: Graph) -> DataFrame:
@@ -97,14 +100,25 @@ def run_experiment(graph: Graph, params: dict[str, float], fitness: str) -> Resu
 
 
 def better(new: Result, best: Result | None) -> bool:
-    """More fitness, or as much and more stability."""
+    """More fitness, however little, or about as much and more stability."""
     if best is None:
         return new.status != "fail"
-    return new.status != "fail" and (new.fitness > best.fitness + 1e-4 or (abs(new.fitness - best.fitness) < 1e-4 and new.stability > best.stability))
+    return new.fitness > best.fitness or (abs(new.fitness - best.fitness) < EQUAL and new.stability > best.stability)
+
+
+def kept_log(runs: DataFrame, run: str = "run", order: str = "iteration") -> DataFrame:
+    """`runs` with kept: whether each row beats the best of its log so far by more fitness.
+
+    This is the hill-climb decision replayed over logs, all of them at once; the first row of a log is its baseline.
+    """
+    w = Window.partitionBy(run).orderBy(order)
+    best = F.max("fitness").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("kept", best.isNull() | (F.col("fitness") > best))
 
 
 def perturb(params: dict[str, float], scale: float, rng: np.random.Generator) -> dict[str, float]:
-    return {k: float(np.clip(v * (1 + rng.uniform(-scale, scale)), *BOUNDS.get(k, (-math.inf, math.inf)))) for k, v in params.items()}
+    """Each parameter moved by at most `scale`, within its bounds."""
+    return {k: float(np.clip(v + rng.uniform(-scale, scale), *BOUNDS.get(k, (-math.inf, math.inf)))) for k, v in params.items()}
 
 
 def random_params(rng: np.random.Generator) -> dict[str, float]:
@@ -113,18 +127,21 @@ def random_params(rng: np.random.Generator) -> dict[str, float]:
 
 @dataclass
 class Review:
-    """Counts idle iterations: ten widen the search, the third time in a row restarts it."""
+    """Counts iterations without more fitness: ten widen the search, the third time in a row restarts it."""
 
     idle: int = 0
     widened: int = 0
+    best: float = -math.inf
 
-    def assess(self, improved: bool) -> tuple[str, float]:
-        if improved:
-            self.idle = self.widened = 0
-            return "Continue", BASE_SCALE
+    def assess(self, fitness: float) -> tuple[str, float | None]:
+        """(action, new scale); None leaves the scale as it is."""
+        if fitness > self.best:
+            self.best, self.idle, self.widened = fitness, 0, 0
+            return "Continue", None
         self.idle += 1
-        if self.idle % PLATEAU:
-            return "Continue", BASE_SCALE * 2**self.widened
+        if self.idle < PLATEAU:
+            return "Continue", None
+        self.idle = 0
         self.widened += 1
         if self.widened >= RESTART_AT:
             self.widened = 0
@@ -145,29 +162,42 @@ def review_log(runs: DataFrame) -> DataFrame:
 
 # Advice of a language model is read by keywords; the model itself is any callable.
 
+# The fitness functions that advice may name, and the answers it is asked for.
+ADVISED = ("ImpactAccuracy", "PropagationDepth", "CycleTime", "GraphDensity")
+ANSWERS = ("WIDEN (increase search range)", "RESTART (random parameters)", "CONTINUE (no change)")
+ADVISED_SCALE = 0.4
+HISTORY = 20
+
 
 def parse_advice(text: str) -> tuple[str, str | float | None]:
-    """SWITCH name, WIDEN, RESTART or nothing, in this order of precedence."""
-    if m := re.search(r"switch\s+(?:to\s+)?(\w+)", text, re.I):
-        return "Switch", m[1]
+    """SWITCH_FITNESS(name), else widen, else restart, else nothing, wherever the words stand."""
+    if (m := re.search(r"switch_fitness\(([^)]*)\)", text, re.I)) and m[1].strip():
+        return "Switch", m[1].strip()
     if re.search("widen", text, re.I):
-        return "Widen", 0.4
+        return "Widen", ADVISED_SCALE
     return ("Restart", None) if re.search("restart", text, re.I) else ("Continue", None)
 
 
-def advise(model: Callable[[str], str] | None, history: list[Result]) -> tuple[str, str | float | None]:
-    """Ask a model about the last twenty results, newest first; any failure means going on."""
+def advice_prompt(history: list[dict], available: tuple[str, ...] = ADVISED) -> str:
+    """What a model is asked: the last results, newest first, and the answers it may give."""
+    past = [f"{r['iteration']}\t{r['fitness']:.4f}\t{r['stability']:.4f}\t{r['cycle_ms']}\t{r['description']}" for r in history[::-1][:HISTORY]]
+    choices = [*(f"SWITCH_FITNESS({name})" for name in available), *ANSWERS]
+    return "\n".join(["Recent experiments on a code graph, newest first (iteration, fitness, stability, cycle_ms, description):", *past, "", "Answer with exactly one of:", *(f"- {c}" for c in choices)])
+
+
+def advise(model: Callable[[str], str] | None, history: list[dict], available: tuple[str, ...] = ADVISED) -> tuple[str, str | float | None]:
+    """Ask a model about the last results; any failure means going on."""
     if model is None:
         return "Continue", None
-    lines = [f"{r.fitness:.6f} {r.stability:.6f} {r.status} {json.dumps(r.params, sort_keys=True)}" for r in history[::-1][:20]]
     try:
-        return parse_advice(model("Recent experiments, newest first:\n" + "\n".join(lines) + "\nAnswer CONTINUE, WIDEN, RESTART or SWITCH <fitness>."))
+        return parse_advice(model(advice_prompt(history, available)))
     except Exception:  # noqa: BLE001  advice is optional
         return "Continue", None
 
 
 @dataclass
 class Checkpoint:
+    # The names of the stored fields.
     iteration: int = 0
     params: dict[str, float] = field(default_factory=lambda: dict(DEFAULTS))
     fitness_fn: str = "ImpactAccuracy"
@@ -195,38 +225,58 @@ class Checkpoint:
 LOG_COLUMNS = ["iteration", "fitness", "stability", "cycle_ms", "status", "params_json", "description"]
 
 
+def log_iteration(number: int, label: str, got: Result) -> None:
+    """A line of progress for whoever watches."""
+    print(f"[{number}] {label}: fitness={got.fitness:.4f} stability={got.stability:.4f} ({got.cycle_ms} ms)", file=sys.stderr, flush=True)
+
+
+def described(params: dict[str, float]) -> str:
+    return ", ".join(f"{k}={v:.3f}" for k, v in sorted(params.items())) or "default"
+
+
 def run_continuous(graph: Graph, log: str, iterations: int, fitness: str = "ImpactAccuracy", seed: int = 0, model: Callable[[str], str] | None = None) -> Result | None:
-    """Hill-climb for some iterations, each logged in the chain and checkpointed; goes on from an earlier checkpoint."""
-    spark = graph.edges.sparkSession
-    if os.path.exists(log):
-        from cairn.sources.logs import read_log
+    """Hill-climb for some iterations, each logged in the chain and checkpointed; goes on from an earlier checkpoint.
 
-        read_log(spark, log, "experiment", verify=True)
-    state = Checkpoint.load(f"{log}.checkpoint.json") or Checkpoint(fitness_fn=fitness)
+    The first row of a new log is the baseline.  A restart asks the model, if there is one, what to do instead.
+    """
+    spark = graph.edges.sparkSession
+    state = Checkpoint.load(f"{log}.checkpoint.json")
+    history: list[dict] = []
+    if state and os.path.exists(log):
+        from cairn.sources.logs import read_log, tail
+
+        history = [r.asDict() for r in tail(read_log(spark, log, "experiment", verify=True), HISTORY).collect()]
+    fresh = state is None
+    state = state or Checkpoint(fitness_fn=fitness)
     writer, rng = ChainWriter(log, "experiment", LOG_COLUMNS), np.random.default_rng(seed + state.iteration)
-    review = Review(state.plateau_count, state.widen_count)
-    best = Result(state.best_fitness, state.best_stability, 0, "pass", state.params) if state.iteration else None
-    history: list[Result] = []
+    review = Review(state.plateau_count, state.widen_count, -math.inf if fresh else state.best_fitness)
+    best = None if fresh else Result(state.best_fitness, state.best_stability, 0, "pass", state.params)
     for _ in range(iterations):
-        trial = perturb(state.params, state.scale, rng) if state.iteration else dict(state.params)
+        trial = dict(state.params) if best is None and fresh else perturb(state.params, state.scale, rng)
         got = run_experiment(graph, trial, state.fitness_fn)
-        improved = better(got, best)
-        if improved:
-            best, state.params = got, trial
-        history.append(got)
-        action, state.scale = review.assess(improved)
-        if action == "Widen":
-            kind, value = advise(model, history)
-            if kind == "Switch" and value in FITNESS:
-                state.fitness_fn = str(value)
-            elif kind == "Widen":
-                state.scale = float(value or 0.4)
-            elif kind == "Restart":
-                action = "Restart"
+        baseline, improved = fresh, fresh or better(got, best)
+        fresh = False
+        action, scale = review.assess(got.fitness)
+        note = "baseline" if baseline else described(trial)
+        if action == "Restart" and model is not None:
+            action, value = advise(model, history)
+            scale = value if action == "Widen" else BASE_SCALE if action in ("Restart", "Switch") else None
+            if action == "Switch":
+                if value != state.fitness_fn:  # scores of another function can't be compared
+                    best, review.best = None, -math.inf
+                state.fitness_fn, note = str(value), f"SWITCH_FITNESS: {value}"
         if action == "Restart":
-            state.params = random_params(rng)
-        text = json.dumps(trial, sort_keys=True)
-        state.last_chain_hash = writer.append(state.iteration, got.fitness, got.stability, got.cycle_ms, got.status, text, "keep" if improved else action.lower())
+            state.params, note = random_params(rng), "RESTART: random params"
+        elif action == "Widen":
+            note = f"widen: scale={scale:.3f}"
+        state.scale = state.scale if scale is None else float(scale)
+        if improved and not baseline:
+            note = f"KEEP: {described(trial)}"
+        if improved and action != "Switch":
+            best, state.params = got, trial
+        log_iteration(state.iteration, note, got)
+        state.last_chain_hash = writer.append(state.iteration, got.fitness, got.stability, got.cycle_ms, got.status, json.dumps(trial, sort_keys=True), note)
+        history.append({"iteration": state.iteration, "fitness": got.fitness, "stability": got.stability, "cycle_ms": got.cycle_ms, "description": note})
         state.iteration += 1
         state.plateau_count, state.widen_count = review.idle, review.widened
         if best:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.identity import node_label
 
+#: Rows of a document, which the driver holds.
+SHOWN = 200_000
 TEMPLATE = "<!DOCTYPE html><meta charset='utf-8'><title>graph</title><pre id='out'></pre><script>const graph = {{GRAPH_DATA}};document.getElementById('out').textContent = JSON.stringify(graph, null, 1);</script>"
 
 
@@ -21,8 +23,11 @@ def cytoscape_rows(nodes: DataFrame, edges: DataFrame, min_confidence: float = 0
 
 
 def cytoscape_json(nodes: DataFrame, edges: DataFrame, min_confidence: float = 0.0, relations: tuple[str, ...] | None = None) -> str:
-    """One document; meant for graphs that a browser can show."""
-    parts = [[json.loads(r.json) for r in df.collect()] for df in cytoscape_rows(nodes, edges, min_confidence, relations)]
+    """One document, for graphs that a browser can show; a larger one than SHOWN rows is refused."""
+    shown = cytoscape_rows(nodes, edges, min_confidence, relations)
+    if sum(df.limit(SHOWN + 1).count() for df in shown) > SHOWN:
+        raise ValueError(f"more than {SHOWN} nodes and edges; choose relations, a least confidence or a neighbourhood")
+    parts = [[json.loads(r.json) for r in df.collect()] for df in shown]
     return json.dumps({"nodes": parts[0], "edges": parts[1]})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import address_of, file_address
-from cairn.plans.fixpoint import breadth_first
+from cairn.plans.fixpoint import breadth_first, path_to
 from cairn.schema import edge_columns, node_columns, provenance
 
 from .graph import Graph
@@ -50,23 +50,26 @@ def cross_repository_imports(imports: DataFrame, symbols: DataFrame, dependencie
     return got.select(*edge_columns(file_address("path"), F.col("address"), "Imports", 0.7, provenance(actor="federation")))
 
 
-def trace_between(edges: DataFrame, start: str, goal: str, max_depth: int = 64) -> DataFrame:
+def trace_between(edges: DataFrame, start: str, goal: str, max_depth: int | None = None) -> DataFrame:
     """(hop, source, target) of a shortest path; nothing for the same, unknown or unreachable ends."""
     spark = edges.sparkSession
     steps = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1.0).alias("c")).distinct()
     reached = breadth_first(steps, spark.createDataFrame([(start,)], "node string"), max_depth)
-    path = reached.where((F.col("node") == goal) & (F.col("hop") > 0)).select("path")
-    pairs = path.select(F.posexplode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] as source, path[i] as target))")).alias("hop", "e"))
-    return pairs.select((F.col("hop") + 1).alias("hop"), "e.source", "e.target")
+    return spark.createDataFrame(path_to(reached, goal), "hop int, source string, target string")
 
 
-def trace_depths(edges: DataFrame, repositories: DataFrame, max_depth: int = 64) -> DataFrame:
+def trace_depths(edges: DataFrame, repositories: DataFrame, max_depth: int | None = None) -> DataFrame:
     """One row (pairs, min, max, mean) of shortest hops between ordered pairs, all starts in one loop."""
     steps = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1.0).alias("c")).distinct()
     found = breadth_first(steps, repositories.select("node"), max_depth).where("hop > 0").join(repositories.select("node"), "node", "left_semi")
     return found.agg(F.count("*").alias("pairs"), F.coalesce(F.min("hop"), F.lit(0)).alias("min_depth"), F.coalesce(F.max("hop"), F.lit(0)).alias("max_depth"), F.coalesce(F.avg("hop"), F.lit(0.0)).alias("mean_depth"))
 
 
+def ordered_links(edges: DataFrame) -> DataFrame:
+    """Edges between repositories in the order they are listed: source, target, relation, actor."""
+    return edges.orderBy("source", "target", "relation", F.col("provenance.actor"))
+
+
 def federated(graphs: list[Graph], links: DataFrame) -> Graph:
     """All repositories' graphs and the edges between them as one graph."""
     out = graphs[0]

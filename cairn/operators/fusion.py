@@ -31,7 +31,7 @@ def fuse_edges(edges: DataFrame) -> DataFrame:
     the order of overlay_ord and edge_ord where these columns exist.
     """
     order = [c for c in ("overlay_ord", "edge_ord") if c in edges.columns]
-    first = F.min_by(F.struct("confidence", "provenance"), F.struct(*order)) if order else F.first(F.struct("confidence", "provenance"))
+    first = F.min_by(F.struct("confidence", "provenance"), F.struct(*order)) if order else F.min(F.struct("confidence", "provenance"))
     listed = F.sort_array(F.collect_list(F.struct(*order, "evidence")))
     grouped = edges.groupBy("source", "target", "relation").agg(noisy_or("confidence").alias("fused"), F.count("*").alias("n"), first.alias("own"), F.flatten(F.transform(listed, lambda s: s["evidence"])).alias("evidence"))
     single = F.col("n") == 1
@@ -48,5 +48,5 @@ def fuse_edges(edges: DataFrame) -> DataFrame:
 def fuse_confidence(edges: DataFrame) -> DataFrame:
     """(source, target, relation, confidence, n): fusion without provenance and evidence, for graph loops."""
     return edges.groupBy("source", "target", "relation").agg(
-        F.when(F.count("*") == 1, F.first("confidence")).otherwise(noisy_or("confidence")).alias("confidence"), F.count("*").alias("n")
+        F.when(F.count("*") == 1, F.min("confidence")).otherwise(noisy_or("confidence")).alias("confidence"), F.count("*").alias("n")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import Direction
-from cairn.plans.fixpoint import best_products, breadth_first, longest_levels
+from cairn.plans.fixpoint import best_products, breadth_first, longest_levels, with_paths
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ class Graph:
         return self.edges.sparkSession.createDataFrame([(a,) for a in addresses], "node string")
 
     def reach(self, query: Query) -> DataFrame:
-        """(root, node, hop, confidence, parent, path).  No confidence is over 1, so weak edges can go beforehand."""
+        """(root, node, hop, confidence, parent).  No confidence is over 1, so weak edges can go beforehand."""
         edges = self.oriented(query.direction, query.relations, query.min_confidence)
         return breadth_first(edges, self.roots(query.target), query.max_depth, query.min_confidence)
 
@@ -88,7 +88,7 @@ class Graph:
         """Nodes that are reached, the edges among them (of any relation), and a path to each node but the root."""
         reached = self.reach(query)
         found = reached.select(F.col("node").alias("address"))
-        return QueryResult(self.nodes_in(found), self.induced(found), reached.where("hop > 0").select("path"))
+        return QueryResult(self.nodes_in(found), self.induced(found), with_paths(reached).where("hop > 0").select("path"))
 
     def impact(self, seeds: DataFrame, direction: Direction = Direction.DOWNSTREAM) -> DataFrame:
         """(node, score): seeds at 1, others by the best product of confidences; Both takes the larger side."""

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from cairn.plans.fixpoint import breadth_first
 from cairn.schema import edge_columns, provenance
 
-#: Guard against cycles, which would never end otherwise.
-MAX_GENERATIONS = 10_000
-
 
 def record_mutations(records: DataFrame) -> DataFrame:
     """Edges of (parent, child, actor, timestamp) rows."""
@@ -18,7 +15,7 @@ def record_mutations(records: DataFrame) -> DataFrame:
     return records.select(*edge_columns(F.col("child"), F.col("parent"), "MutatedFrom", 1.0, prov, F.array("parent", "child")))
 
 
-def _walk(edges: DataFrame, node: str, upward: bool, depth: int) -> DataFrame:
+def _walk(edges: DataFrame, node: str, upward: bool, depth: int | None) -> DataFrame:
     own = edges.where("relation = 'MutatedFrom'")
     a, b = ("source", "target") if upward else ("target", "source")
     first = own.groupBy(a).agg(F.min(b).alias(b)) if upward else own.select(a, b)  # one parent each: the smallest
@@ -27,16 +24,16 @@ def _walk(edges: DataFrame, node: str, upward: bool, depth: int) -> DataFrame:
     return breadth_first(steps, root, depth).where("hop > 0").select("node", "hop")
 
 
-def ancestors(edges: DataFrame, node: str, depth: int = MAX_GENERATIONS) -> DataFrame:
-    """(node, hop), the oldest with the largest hop."""
+def ancestors(edges: DataFrame, node: str, depth: int | None = None) -> DataFrame:
+    """(node, hop), the oldest with the largest hop; all of them without a depth, each once on a cycle."""
     return _walk(edges, node, True, depth)
 
 
-def descendants(edges: DataFrame, node: str, depth: int = MAX_GENERATIONS) -> DataFrame:
+def descendants(edges: DataFrame, node: str, depth: int | None = None) -> DataFrame:
     return _walk(edges, node, False, depth)
 
 
-def lineage_chain(edges: DataFrame, node: str, depth: int = MAX_GENERATIONS) -> DataFrame:
+def lineage_chain(edges: DataFrame, node: str, depth: int | None = None) -> DataFrame:
     """(node, position): ancestors before 0, the node at 0, descendants after; nothing for an unknown node."""
     up = ancestors(edges, node, depth).select("node", (-F.col("hop")).alias("position"))
     down = descendants(edges, node, depth).select("node", F.col("hop").alias("position"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from cairn.functions.confidence import depth_confidence
 from cairn.functions.identity import address_of, process_address, statement_address
 from cairn.plans.fixpoint import breadth_first
-from cairn.schema import edge_columns, node_columns, provenance
+from cairn.schema import NODES, edge_columns, node_columns, provenance
+
+from .resolve import trace_edges
 
 
 class Overlay(Protocol):
@@ -65,6 +67,25 @@ def process_overlay(entrypoints: DataFrame, edges: DataFrame, max_depth: int = 1
     return nodes, own.select(*edge_columns(F.col("node"), process_address("name"), "PartOfProcess", depth_confidence("hop"), prov))
 
 
+def call_graph(edges: DataFrame) -> DataFrame:
+    """(source, target) of who calls whom, once each."""
+    return edges.where("relation = 'Calls'").select("source", "target").distinct()
+
+
+def runtime_overlay(trace: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls seen at run time; they add no nodes."""
+    edges = trace_edges(trace, symbols)
+    return symbols.sparkSession.createDataFrame([], NODES), edges
+
+
+def scip_overlay(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the symbols and of the places that refer to them, and the References between them."""
+    edges = scip_edges(occurrences)
+    prov = provenance(actor="scip")
+    ends = edges.select(F.col("source").alias("a")).unionByName(edges.select(F.col("target").alias("a"))).distinct()
+    return ends.select(*node_columns(F.col("a"), "Symbol", F.col("a"), None, prov)), edges
+
+
 def scip_edges(occurrences: DataFrame) -> DataFrame:
     """References within documents from (relative_path, symbol, role, line) rows, each to its definition there."""
     d = occurrences.where("role = 'definition'").select("relative_path", "symbol").distinct()

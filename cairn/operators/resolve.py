@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import file_address, normalize_path
@@ -50,12 +50,23 @@ def implement_edges(impls: DataFrame, symbols: DataFrame) -> DataFrame:
     return got.select(*edge_columns(F.col("own"), F.col("resolved"), "Implements", 0.8, provenance(actor="resolver")))
 
 
+#: Lines of a block; spans and lines meet in the blocks they cover, not in the whole file.
+BLOCK_LINES = 256
+
+
+def blocks(start: Column | str, end: Column | str) -> Column:
+    """Numbers of the blocks that a range of lines covers, one row each."""
+    number = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / BLOCK_LINES)
+    return F.explode(F.sequence(number(start), F.greatest(number(start), number(end))))
+
+
 def innermost_span(points: DataFrame, spans: DataFrame) -> DataFrame:
     """(path, line, address, ties): the narrowest span of the same file around each line; ties counts equal widths."""
-    held = points.join(spans, "path").where("line between start_line and end_line").withColumn("width", F.col("end_line") - F.col("start_line"))
-    best = held.groupBy("path", "line").agg(F.min("width").alias("least"))
-    tied = held.join(best, ["path", "line"]).where("width = least")
-    return tied.groupBy("path", "line").agg(F.min("address").alias("address"), F.count("*").alias("ties"))
+    inside = spans.withColumn("block", blocks("start_line", "end_line"))
+    held = points.withColumn("block", F.floor(F.col("line") / BLOCK_LINES)).join(inside, ["path", "block"]).where("line between start_line and end_line")
+    widths = held.groupBy("path", "line", (F.col("end_line") - F.col("start_line")).alias("width")).agg(F.min("address").alias("address"), F.count("*").alias("ties"))
+    best = widths.groupBy("path", "line").agg(F.min(F.struct("width", "address", "ties")).alias("best"))
+    return best.select("path", "line", "best.address", "best.ties")
 
 
 def find_at(path: str, line: int, spans: DataFrame) -> str:
@@ -98,12 +109,18 @@ def freshness(indexed: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def def_use(definitions: DataFrame, uses: DataFrame) -> DataFrame:
-    """Earliest definition (by ordinal) of the same name in the same scope that ends before the use begins."""
-    d = definitions.select("path", "scope", "name", F.col("start_byte").alias("def_start"), F.col("end_byte").alias("def_end"), "ordinal")
-    u = uses.select("path", "scope", "name", F.col("start_byte").alias("use_start"), F.col("end_byte").alias("use_end"))
-    met = u.join(d, ["path", "scope", "name"]).where("use_start > def_end")
-    best = met.groupBy("path", "scope", "name", "use_start", "use_end").agg(F.min_by(F.struct("def_start", "def_end"), "ordinal").alias("d"))
-    return best.select("path", "scope", "name", "use_start", "use_end", "d.def_start", "d.def_end")
+    """Earliest definition (by ordinal) of the same name in the same scope that ends before the use begins.
+
+    Definitions and uses of a name are put in one order of bytes and the least definition so far is carried along it,
+    so a name with many of both costs a sort and not their product.
+    """
+    keys = ["path", "scope", "name"]
+    none = F.lit(None)
+    d = definitions.select(*keys, F.col("end_byte").alias("at"), F.lit(1).alias("side"), F.struct("ordinal", F.col("start_byte").alias("def_start"), F.col("end_byte").alias("def_end")).alias("d"), none.cast("bigint").alias("use_end"))
+    u = uses.select(*keys, F.col("start_byte").alias("at"), F.lit(0).alias("side"), none.cast(d.schema["d"].dataType).alias("d"), F.col("end_byte").alias("use_end")).distinct()
+    so_far = F.min("d").over(Window.partitionBy(*keys).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    met = d.unionByName(u).withColumn("d", so_far).where("side = 0 and d is not null")
+    return met.select(*keys, F.col("at").alias("use_start"), "use_end", "d.def_start", "d.def_end")
 
 
 def trace_edges(trace: DataFrame, symbols: DataFrame) -> DataFrame:

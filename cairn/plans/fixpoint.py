@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoint import cut
+from .checkpoint import cut, cut_counted
 
 #: Rows of a frontier up to which it is broadcast (about 150 bytes each); beyond it Spark picks the join.
 BROADCAST_ROWS = 100_000
+#: Rounds after which the appended changes are put together.
+COMPACT = 8
 
 
 @contextmanager
@@ -30,71 +33,113 @@ def frontier(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def best_products(edges: DataFrame, seeds: DataFrame, attenuation: float = 1.0, threshold: float = 0.0, max_hops: int | None = None) -> DataFrame:
     """(root, node, score): the largest product of confidences over all paths from each seed.
 
     `edges` has (src, dst, c) and `seeds` (root, node, score).  A step scores least(1, score * c * attenuation) and is
     dropped below the threshold.  Only rows that improved go on, so the work follows the changes, and the least upper
     bound is unique on cyclic graphs too.  Zero scores are kept but lead nowhere.
+
+    Changes are appended, so a round writes what it changed and not what is known; a small set of candidates is looked
+    up in the known rows by a scan, without a shuffle of them.
     """
-    best = cut(seeds.groupBy("root", "node").agg(F.max("score").alias("score")))
-    delta, hop = best, 0
-    rows = delta.count()
+    keys, top = ["root", "node"], F.max("score").alias("score")
+    delta, rows = cut_counted(seeds.groupBy(*keys).agg(top))
+    held, hop = [delta], 0
     with kept(edges.select(F.col("src").alias("node"), "dst", (F.col("c") * F.lit(float(attenuation))).alias("c"))) as steps:
         while rows and (max_hops is None or hop < max_hops):
             moved = frontier(delta.where("score > 0"), rows).join(steps, "node")
             cand = moved.select("root", F.col("dst").alias("node"), F.least(F.lit(1.0), F.col("score") * F.col("c")).alias("score")).where(F.col("score") >= threshold)
-            cand = cand.groupBy("root", "node").agg(F.max("score").alias("score"))
-            old = best.withColumnRenamed("score", "old")
-            delta = cut(cand.join(old, ["root", "node"], "left").where("old is null or score > old").select("root", "node", "score"))
-            rows = delta.count()
+            cand, found = cut_counted(cand.groupBy(*keys).agg(top))
+            old = together(held).join(frontier(cand.select(*keys), found), keys, "left_semi").groupBy(*keys).agg(F.max("score").alias("old"))
+            delta, rows = cut_counted(cand.join(old, keys, "left").where("old is null or score > old").select(*keys, "score"))
             if rows:
-                best = cut(best.unionByName(delta).groupBy("root", "node").agg(F.max("score").alias("score")))
+                held.append(delta)
+            if len(held) > COMPACT:
+                held = [cut(together(held).groupBy(*keys).agg(top))]
             hop += 1
-    return best
+    return held[0] if len(held) == 1 else together(held).groupBy(*keys).agg(top)
 
 
-def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int, min_confidence: float = 0.0) -> DataFrame:
-    """(root, node, hop, confidence, parent, path) of every node that is reached, roots at hop 0.
+def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, min_confidence: float = 0.0) -> DataFrame:
+    """(root, node, hop, confidence, parent) of every node that is reached, roots at hop 0; without a depth, all of them.
 
     A node is visited at its first hop; of several arrivals the one with the largest product and then the smallest
-    parent counts.  Arrivals under the least confidence are pruned and don't mark the node as visited.
+    parent counts.  Arrivals under the least confidence are pruned and don't mark the node as visited.  `with_paths`
+    puts the parents together.
     """
+    keys = ["root", "node"]
     start = roots.select(F.col("node").alias("root"), "node").distinct()
-    visited = cut(start.select("root", "node", F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("path")))
-    delta, rows = visited, visited.count()
+    delta, rows = cut_counted(start.select(*keys, F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("parent")))
+    held, hop = [delta], 0
     with kept(edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "c")) as steps:
-        for hop in range(1, max_depth + 1):
-            if not rows:
-                break
-            front = delta.select("root", F.col("node").alias("parent"), F.col("confidence").alias("upto"), F.col("path").alias("way"))
+        while rows and (max_depth is None or hop < max_depth):
+            hop += 1
+            front = delta.select("root", F.col("node").alias("parent"), F.col("confidence").alias("upto"))
             cand = frontier(front, rows).join(steps, "parent").withColumn("confidence", F.col("upto") * F.col("c")).where(F.col("confidence") >= min_confidence)
-            fresh = cand.join(visited.select("root", "node"), ["root", "node"], "left_anti")
-            order = Window.partitionBy("root", "node").orderBy(F.col("confidence").desc(), "parent")
-            first = fresh.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-            delta = cut(first.select("root", "node", F.lit(hop).alias("hop"), "confidence", "parent", F.concat("way", F.array("node")).alias("path")))
-            rows = delta.count()
+            order = Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), "parent")
+            cand, found = cut_counted(cand.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(*keys, F.lit(hop).alias("hop"), "confidence", "parent"))
+            seen = together(held).select(*keys).join(frontier(cand.select(*keys), found), keys, "left_semi")
+            delta, rows = cut_counted(cand.join(seen, keys, "left_anti"))
             if rows:
-                visited = visited.unionByName(delta)
-    return visited
-
-
-def longest_levels(edges: DataFrame, roots: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """(node, level): the longest path from any root; on cycles a node's level is its first hop.
-
-    Topological order is the order of (level, node).  The cycle guard is the number of reached nodes.
+                held.append(delta)
+            if len(held) > COMPACT:
+                held = [cut(together(held))]
+    return together(held)
+
+
+def with_paths(visited: DataFrame) -> DataFrame:
+    """`visited` with path, the nodes from the root on, by one join for each hop; only rows of that hop take part."""
+    visited = cut(visited)
+    deepest = visited.agg(F.max("hop")).first()[0] or 0
+    level = visited.where("hop = 0").withColumn("path", F.array("node"))
+    out = [level]
+    for hop in range(1, deepest + 1):
+        up = level.select("root", F.col("node").alias("parent"), F.col("path").alias("way"))
+        level = cut(visited.where(F.col("hop") == hop).join(up, ["root", "parent"]).withColumn("path", F.concat("way", F.array("node"))).drop("way"))
+        out.append(level)
+    return together(out)
+
+
+def path_to(visited: DataFrame, goal: str) -> list[tuple[int, str, str]]:
+    """(hop, parent, node) from the root to a goal: the rows of one path, looked up from its end."""
+    out, at = [], goal
+    while at is not None:
+        row = visited.where(F.col("node") == at).select("hop", "parent").first()
+        if row is None or row.parent is None:
+            break
+        out.append((row.hop, row.parent, at))
+        at = row.parent
+    return out[::-1]
+
+
+def longest_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, level): the longest path from any root; on cycles, and behind them, a node's level is its first hop.
+
+    Topological order is the order of (level, node).  A node is placed once all edges into it have been used up, which
+    a count of them tells; a round touches only the edges of the nodes it has placed.
     """
-    reached = breadth_first(edges.select("src", "dst", F.lit(1.0).alias("c")), roots.select("node"), max_levels)
-    first = cut(reached.groupBy("node").agg(F.min("hop").alias("first")))
-    inner = cut(edges.join(first.select(F.col("node").alias("src")), "src").join(first.select(F.col("node").alias("dst")), "dst").where("src <> dst").select("src", "dst").distinct())
-    level = cut(first.join(inner.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).alias("level")))
-    # peel: a node is placed once all nodes before it are
-    done, left, k = level, inner, 0
-    while not level.isEmpty() and k < max_levels:
-        k += 1
-        left = cut(left.join(level.select(F.col("node").alias("src")), "src", "left_anti"))
-        waiting = left.select(F.col("dst").alias("node")).distinct()
-        level = cut(first.select("node").join(done.select("node"), "node", "left_anti").join(waiting, "node", "left_anti").select("node", F.lit(k).alias("level")))
-        done = done.unionByName(level)
-    rest = first.join(done.select("node"), "node", "left_anti").select("node", F.col("first").alias("level"))
-    return done.unionByName(rest)
+    first = cut(breadth_first(edges.select("src", "dst", F.lit(1.0).alias("c")), roots.select("node")).groupBy("node").agg(F.min("hop").alias("first")))
+    inner = edges.join(first.select(F.col("node").alias("src")), "src", "left_semi").where("src <> dst").select("src", "dst").distinct()
+    with kept(inner) as inner:
+        into = cut(inner.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("edges")))
+        level, rows = cut_counted(first.join(into, "node", "left_anti").select("node", F.lit(0).alias("level")))
+        done, waiting, k = [level], None, 0
+        while rows:
+            k += 1
+            used = frontier(level.select(F.col("node").alias("src")), rows).join(inner, "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("used"))
+            used = used if waiting is None else used.unionByName(waiting).groupBy("node").agg(F.sum("used").alias("used"))
+            counted = cut(used.join(into, "node"))
+            waiting = counted.where("used < edges").select("node", "used")
+            level, rows = cut_counted(counted.where("used = edges").select("node", F.lit(k).alias("level")))
+            if rows:
+                done.append(level)
+            if len(done) > COMPACT:
+                done = [cut(together(done))]
+    placed = together(done)
+    rest = first.join(placed.select("node"), "node", "left_anti").select("node", F.col("first").alias("level"))
+    return placed.unionByName(rest)

@@ -22,13 +22,32 @@ class ChainError(ValueError):
     """A log whose rows don't fit their chain."""
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line) of the lines behind the header, blank ones left out but counted.
+
+    Large files are read in splits.  Spark numbers the lines within each split, and the splits' line counts, a few
+    numbers on the driver, give where each one begins.
+    """
+    read = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    split, nth = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    read = read.select(split.alias("split"), nth.alias("nth"), F.regexp_replace("value", "\r$", "").alias("line"))
+    begins, start = [], 0
+    for r in read.groupBy("split").agg(F.count("*").alias("n")).orderBy("split").collect():  # one row a split of the file
+        begins += [F.lit(r["split"]), F.lit(start)]
+        start += r.n
+    if not begins:
+        return spark.createDataFrame([], "pos bigint, line string")
+    numbered = read.select((F.create_map(*begins)[F.col("split")] + F.col("nth")).cast("bigint").alias("pos"), "line")
+    return numbered.where("pos > 0 and trim(line) <> ''")
+
+
 def read_log(spark: SparkSession, path: str, log: str, verify: bool = True) -> DataFrame:
     """Rows of a log with pos (their order), row (the hashed text) and chain_hash.
 
     The header and blank lines are skipped.  Short rows and parameters that are no JSON raise, and so does a broken
-    chain unless `verify` is off.  Lines are numbered by the leading number where the log has one, else by their place.
+    chain unless `verify` is off.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("pos > 0 and trim(line) <> ''")
+    lines = numbered_lines(spark, path)
     cells = F.split("line", "\t")
     names = COLUMNS[log]
     short = lines.where(F.size(cells) < len(names) + 1).agg(F.min("pos")).first()[0]

@@ -1,4 +1,4 @@
-"""Queries against their SQL, on the smallest tables."""
+"""Every query against its SQL, on the smallest tables."""
 
 import glob
 import os
@@ -7,41 +7,34 @@ import pytest
 
 from cairn import catalog
 
-SF = "/root/testdata/sf0.001"
-FEW = ["fuse_edges", "impact_downstream_topk", "depth_propagate", "bfs_paths", "components", "resolve_symbol", "experiment_stats", "plateau_review", "policy_decision", "chain_verify", "k_nearest", "def_use_earliest"]
+SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = pytest.importorskip("duckdb").connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
+    return con
 
 
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", FEW)
-def test_query_equals_sql(spark, name):
-    duckdb = pytest.importorskip("duckdb")
-    con = duckdb.connect()
-    for f in glob.glob(f"{SF}/*.parquet"):
-        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_query_equals_sql(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
-    cur = con.execute(catalog.oracle_sql()[name])
+    cur = duck.execute(catalog.oracle_sql()[name])
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
-    assert sorted(tuple(text(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(text, r)) for r in cur.fetchall())
-
-
-WHOLE = ["changed_nodes_all", "changed_nodes_any_file_all", "affected_edges_all", "identity_edges_all", "siblings_all", "def_use_earliest_all"]
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_query_equals_sql_and_passes_the_sampled_one(spark, name):
-    test_query_equals_sql(spark, name)
-    assert catalog.queries()[name](spark, SF).count() >= catalog.queries()[name[:-4]](spark, SF).count()
+    got, want = sorted(tuple(text(r[c]) for c in names) for r in df.collect()), sorted(tuple(map(text, r)) for r in cur.fetchall())
+    assert want or name == "trace_between", "an empty result proves nothing"  # no path among the smallest tables
+    assert got == want
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-def test_identity_edges_of_all_customers(spark):
-    held = {(r.c_nationkey, r.c_mktsegment) for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
-    pairs = {(s, f"repo{a}", f"repo{b}") for a, s in held for b, t in held if s == t and a < b}
-    assert catalog.queries()["identity_edges_all"](spark, SF).count() == len(pairs)
+def test_both_outcomes_of_chains_are_there(spark):
+    rows = catalog.queries()["chain_verify"](spark, SF).groupBy("ok").count().collect()
+    assert {r.ok for r in rows} == {True, False} and {r.ok: r["count"] for r in rows}[True] > {r.ok: r["count"] for r in rows}[False]

@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.extract import braces, python
 from cairn.functions import identity as I
-from cairn.operators import chain, experiment, governance, stats
+from cairn.operators import chain, evidence, experiment, governance, measurement, stats
 from cairn.sources import git, logs
 from cairn.streaming import logtail
 
@@ -41,7 +42,7 @@ def test_statistics(spark):
     idle = spark.createDataFrame([("r", i, 1.0) for i in range(40)], "run string, iteration bigint, fitness double")
     replay = [r.action for r in experiment.review_log(idle).orderBy("iteration").collect()]
     live = experiment.Review()
-    assert replay == [live.assess(i == 0)[0] for i in range(40)]
+    assert replay == [live.assess(1.0)[0] for i in range(40)]
 
 
 def test_policies(spark, tmp_path):
@@ -65,7 +66,7 @@ def test_text_functions(spark):
     with pytest.raises(ValueError):
         I.Direction.parse("sideways")
     assert I.Direction.parse("sideways", strict=False) is I.Direction.DOWNSTREAM
-    assert experiment.parse_advice("WIDEN, then switch to Stability") == ("Switch", "Stability") and experiment.parse_advice("?") == ("Continue", None)
+    assert experiment.parse_advice("WIDEN or SWITCH_FITNESS(Stability)") == ("Switch", "Stability") and experiment.parse_advice("?") == ("Continue", None)
 
 
 def test_readers(spark, tmp_path):
@@ -100,3 +101,75 @@ def test_streams(spark, tmp_path):
     q = logtail.windowed_calls(logtail.read_stream(spark, str(calls), logtail.TRACE, 1)).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.confidence for r in spark.table("windows").collect()) == [0.1, 0.4, 0.8]
+
+
+def test_hill_climb_decisions():
+    r = lambda fitness, stability=0.5, status="pass": experiment.Result(fitness, stability, 0, status, {})
+    assert experiment.better(r(0.50005), r(0.5)) and not experiment.better(r(0.5), r(0.5))
+    assert experiment.better(r(0.49995, 0.6), r(0.5)) and not experiment.better(r(0.4, 0.9), r(0.5)) and not experiment.better(r(float("nan"), status="fail"), r(0.5))
+    live = experiment.Review()
+    assert [live.assess(0.5)[0] for _ in range(32)] == ["Continue"] * 10 + ["Widen"] + ["Continue"] * 9 + ["Widen"] + ["Continue"] * 9 + ["Restart", "Continue"]
+    assert experiment.Review().assess(0.1) == ("Continue", None)
+
+
+def test_advice():
+    assert experiment.parse_advice("I say SWITCH_FITNESS( GraphDensity ), not restart") == ("Switch", "GraphDensity")
+    assert experiment.parse_advice("switch_fitness()") == ("Continue", None) and experiment.parse_advice("Restart!") == ("Restart", None)
+    asked = []
+    past = [{"iteration": i, "fitness": i / 10, "stability": 1.0, "cycle_ms": 5, "description": "d"} for i in range(30)]
+    assert experiment.advise(lambda p: asked.append(p) or "WIDEN", past) == ("Widen", 0.4)
+    assert "29\t2.9000" in asked[0] and "\n9\t" not in asked[0] and "SWITCH_FITNESS(CycleTime)" in asked[0]
+
+    def broken(_):
+        raise RuntimeError
+
+    assert experiment.advise(broken, past) == ("Continue", None)
+
+
+def test_evidence_and_ledger(spark, tmp_path):
+    path, ledger = str(tmp_path / "e.tsv"), str(tmp_path / "l.tsv")
+    for i, op in enumerate(("Index", "DetectChanges", "Fuse")):
+        evidence.log_evidence(path, i, op, f"in{i}", f"out{i}")
+        evidence.append_ledger(ledger, i, 100 + i, op, "me", "a", "b")
+    rows = logs.read_log(spark, path, "evidence").orderBy("pos").collect()
+    assert [(r.pos, r.operation) for r in rows] == [(1, "index"), (2, "detect_changes"), (3, "fuse")]
+    assert [r.seq for r in logs.read_log(spark, ledger, "ledger").orderBy("pos").collect()] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        evidence.log_evidence(path, 9, "Nothing", "", "")
+    text = open(path).read().replace("in1", "in9")
+    (tmp_path / "e.tsv").write_text(text)
+    with pytest.raises(logs.ChainError):
+        logs.read_log(spark, path, "evidence")
+    chained = measurement.ChainIntact("evidence")
+    wrong = chained.detect_wrong(2)
+    assert wrong.failure_mode is measurement.FailureMode.OBSERVABLE and not chained.correct(2) and chained.detect_wrong(None) is None and chained.ground_truth_level() is measurement.GroundTruth.AVAILABLE
+    entry = evidence.TypedEvidence.chained(1, 5, "Gate", "me", "t", "content", I.address("x"))
+    assert evidence.TypedEvidence.from_json(entry.to_json()) == entry and entry.chain_hash == I.address(I.address("content") + I.address("x"))
+    for bad in ('{"entry_id": 1}', "{", entry.to_json().replace("Gate", "Other")):
+        with pytest.raises(ValueError):
+            evidence.TypedEvidence.from_json(bad)
+
+
+def test_a_long_log_is_read_in_splits(spark, tmp_path):
+    path = str(tmp_path / "long.tsv")
+    w = chain.ChainWriter(path, "evidence", evidence.EVIDENCE_COLUMNS)
+    for i in range(300):
+        w.append(i, "index", "a" * 50, "b")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        lines = logs.numbered_lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 1 and sorted(r.pos for r in lines.collect()) == list(range(1, 301))
+        assert logs.read_log(spark, path, "evidence").count() == 300
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_deep_sources_are_read():
+    deep = b"fn a() { " + b"{" * 4000 + b" b(); " + b"}" * 4000 + b" }\nfn b() {}\n"
+    assert [(r[2], r[3]) for r in braces.rust("p", deep).out if r[2] == "call"] == [("call", "b")]
+    assert len(braces.rust("p", b"fn a() { if x {} " + b"else if y {} " * 2000 + b"}").out) > 2000
+    assert len(braces.typescript("p", b"function a() { " + b"if (x) " * 2000 + b"b(); }").out) > 2000
+    assert len(python.extract("p", b"x = " + b"+".join([b"a"] * 4000)).out) == 4001
+    assert [r[2:4] for r in python.extract("p", b"x = " + b"(" * 5000).out][0][0] == "failed"
