@@ -5,12 +5,14 @@ are sorted by Gray rank; neighbours in that order share long masked bit patterns
 A search carries the differences accumulated on the way down and leaves a whole group as soon as they exceed the
 radius.  The index is cut over executors by bit fields that two near fingerprints must share (of three fields and two
 differing bits, one field is equal); fields that hold too many fingerprints are subdivided by the same rule over the
-bits that are left, so no partition has to hold an unbounded group.
+bits that are left, three times at most.  Distinct fingerprints that share three fields share 44 of 64 bits at least,
+so no route can hold more than 2 ** 20 of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -262,8 +264,8 @@ def near_duplicate_classes(
 
     Two fingerprints are linked at `radius` or fewer differing bits; component_id is the smallest doc_id that links
     reach.  Null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows stay
-    repeated; a null doc_id keeps its row and never names a component unless nothing else is in it; extra columns are
-    ignored; an empty table gives an empty result.
+    repeated; a null doc_id keeps its row and never names a component unless nothing else is in it; very long texts are
+    read whole; extra columns are ignored; an empty table gives an empty result.
     """
     signed = cut(fingerprints(docs, id_col, text_col, width))
     leads = signed.groupBy("fp").agg(F.min("doc_id").alias("lead"))
@@ -305,22 +307,46 @@ def near_radius(similarity: float) -> int:
 
 
 def band_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) routes of consecutive sets of hashes: of each band the smallest hashes under BAND_ROWS orders; none for empty sets."""
-    rng = np.random.default_rng(SEED)
-    factors = rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """(sets, BANDS) routes of consecutive sets of hashes: of each band the smallest hashes under BAND_ROWS orders; none for empty sets.
+
+    The orders are those of the upper 32 bits times odd factors.
+    """
+    factors = np.random.default_rng(SEED).integers(0, 2**31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    flat = (flat >> np.uint64(32)).astype(np.uint32)
     starts = (np.cumsum(counts) - counts)[counts > 0]
     keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
     if len(starts):
         for k, factor in enumerate(factors):
-            least = np.minimum.reduceat(flat * factor, starts)
+            least = np.minimum.reduceat(flat * factor, starts).astype(np.uint64)
             keys[:, k // BAND_ROWS] = splitmix(keys[:, k // BAND_ROWS] ^ least)
     return keys + np.arange(BANDS, dtype=np.uint64)
 
 
-def text_words(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray]:
-    """The words of each text and the hash of each word sequence."""
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; much faster than numpy's own for short arrays."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def text_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hash of each text's word sequence, and the sorted distinct hashes of its runs of `width` words.
+
+    A word is hashed once, and the hashes of a run are put together as a polynomial, all texts at a time.  Texts of
+    fewer words have the whole sequence as their only run, wordless ones none.
+    """
     words = [ascii_words(t) for t in batch.column("text").to_pylist()]
-    return words, np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words)).view(np.int64)
+    same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words)).view(np.int64)
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    runs = np.zeros(max(0, len(flat) - width + 1), dtype=np.uint64)
+    for k in range(width):
+        runs *= np.uint64(0x9E3779B97F4A7C15)
+        runs += flat[k : k + len(runs)]
+    runs = splitmix(runs)
+    sets = []
+    for start, n, whole in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), same.view(np.uint64)):
+        sets.append(distinct(runs[start : start + n - width + 1]) if n >= width else np.array([whole] if n else [], dtype=np.uint64))
+    return same, sets
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -332,8 +358,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, same = text_words(b)
-            sets = [np.unique(np.array(shingle_hashes(w, width), dtype=np.uint64)) for w in words]
+            same, sets = text_sets(b, width)
             counts = np.fromiter(map(len, sets), np.int64, len(sets))
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             wide = [majority_bits(flat if k == 0 else splitmix(flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), counts) for k in range(WIDE)]
@@ -353,8 +378,8 @@ def shingle_sets(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, same = text_words(b)
-            grams = [np.unique((np.array(shingle_hashes(w, width), dtype=np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for w in words]
+            same, sets = text_sets(b, width)
+            grams = [distinct((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in sets]
             yield pa.RecordBatch.from_arrays([pa.array(same), pa.array(grams, pa.binary())], names=["same", "grams"])
 
     return source.mapInArrow(run, "same bigint, grams binary").dropDuplicates(["same"])
