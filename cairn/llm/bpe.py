@@ -185,7 +185,8 @@ def load(path: str) -> ByteBpe:
 def encode(docs: DataFrame, tables: ByteBpe, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>[, decoded]) of every whole text, special tokens' strings included.
 
-    Null and empty texts have no ids (an empty array) and decode to ''.  Repeated rows stay; extra columns are ignored.
+    Null and empty texts have no ids (an empty array) and decode to ''.  Very long texts are encoded whole; repeated rows
+    and rows with a null id stay; an empty table gives no rows; extra columns are ignored.
     """
     source = small_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(tables)

@@ -19,7 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lower the session's Arrow batch size, so that whole texts stay bounded in a worker."""
+    """Lower the session's Arrow batch size, so that whole texts stay bounded in a worker.
+
+    Plans run after this call returns, so the setting stays.  Spark also ends a batch at the bytes of
+    spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), which bounds batches of very long texts.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark = df.sparkSession
     if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:

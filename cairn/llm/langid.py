@@ -202,7 +202,8 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
     """(doc_id, lang_pred, score, known) of every whole text.
 
     lang_pred is `und`, with score 0, for null and empty texts and those without a letter; a text with letters but no
-    known n-gram gets the most frequent language with score 0.  Repeated rows stay; extra columns are ignored.
+    known n-gram gets the most frequent language with score 0.  Very long texts are read whole; repeated rows and rows
+    with a null id stay; an empty table gives no rows; extra columns are ignored.
     """
     source = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # a table of 2 ** SLOT_BITS slots

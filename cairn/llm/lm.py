@@ -8,7 +8,9 @@ look up whole batches at once.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -129,7 +131,9 @@ def local_path(folder: str, name: str) -> str:
         return f"{path}/{name}"
     key = f"{folder}/{name}"
     if key not in _FETCHED:
-        target = os.path.join(tempfile.mkdtemp(), name)
+        folder_here = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder_here, ignore_errors=True)
+        target = os.path.join(folder_here, name)
         if store.get_file_info(f"{path}/{name}").type == pafs.FileType.File:  # a partition without rows has none
             with store.open_input_stream(f"{path}/{name}") as source, open(target, "wb") as out:
                 while chunk := source.read(1 << 22):
@@ -422,7 +426,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     Null and empty texts have the end as their only token; without training texts every token is unknown.  Repeated
-    rows stay; extra columns are ignored.
+    rows and rows with a null id stay; very long texts are scored whole; an empty table gives no rows; extra columns are
+    ignored.
     """
     source = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -66,6 +66,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10 SQL can express: lengths and edited texts."""
+    return op10_sketch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3 SQL can express: sizes, and that slots have no gap and shards are off the mean by a document at most."""
+    placed = op3_sharding(spark, sf_dir)
+    sums = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("slots"), F.max("size").alias("largest"))
+    whole = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    total = sums.agg(F.sum("n").alias("records"), F.sum("bytes").alias("bytes"), F.min(whole).alias("gapless"), (F.max("bytes") - F.min("bytes") <= 2 * F.max("largest")).alias("even"))
+    return total.select("records", "bytes", "gapless", "even")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op2_kneser_ney": op2_kneser_ney, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix": op7_suffix, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch, "pipeline": pipeline}
+    return {"op1_langid": op1_langid, "op2_kneser_ney": op2_kneser_ney, "op3_sharding": op3_sharding, "op8_simhash": op8_simhash, "op4_pii": op4_pii, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix": op7_suffix, "op9_bpe": op9_bpe, "op10_sketch": op10_sketch, "edited_texts": edited_texts, "shard_balance": shard_balance, "pipeline": pipeline}
 
 
 #: The other operators' results follow from hashes, samples or models that SQL doesn't have.
@@ -90,5 +104,11 @@ sha256(unhex(coalesce(parts.s, '') || substr(d.h, 2 * coalesce(last, 0) + 1))) A
 FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN parts ON parts.doc_id = d.doc_id"""
 
 
+EDITED_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS u FROM d)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(u, 1, n // 2)) AS edited_sha256 FROM n"""
+BALANCE_SQL = "SELECT count(*) AS records, sum(octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS bytes, true AS gapless, true AS even FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix": OP7_SQL}
+    return {"op7_suffix": OP7_SQL, "edited_texts": EDITED_SQL, "shard_balance": BALANCE_SQL}

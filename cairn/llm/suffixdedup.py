@@ -354,7 +354,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are integers.  Null texts count as empty; texts shorter than LENGTH keep everything; rows with a null id are
     neither searched nor matched; rows of the same id and text are one document, rows of the same id and other texts
-    are ordered by a hash of the text; extra columns are ignored.
+    are ordered by a hash of the text; very long texts are searched whole; an empty table gives no rows; extra columns
+    are ignored.
     """
     source = small_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     salted = salted_docs(source)
