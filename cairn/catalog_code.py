@@ -321,3 +321,25 @@ def federated_union(spark: Session, sf: str) -> Rows:
 def repository_nodes(spark: Session, sf: str) -> Rows:
     n = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("repo"))
     return federation.repository_nodes(n).select("address", "kind", "repo")
+
+
+@query(f"WITH {T.EDGES_SQL}, c AS (SELECT source AS parent, target AS node FROM edges WHERE relation = 'Contains') SELECT parent, node, count(*) OVER (PARTITION BY parent) - 1 AS siblings FROM c")
+def sibling_classes(spark: Session, sf: str) -> Rows:
+    return resolve.sibling_classes(T.fused_edges(spark, sf))
+
+
+@query("WITH held AS (SELECT DISTINCT c_nationkey AS repo_ord, 'repo' || c_nationkey AS repo, sha256(c_mktsegment) AS address FROM customer) SELECT address, repo_ord, repo FROM held QUALIFY count(*) OVER (PARTITION BY address) > 1")
+def shared_classes(spark: Session, sf: str) -> Rows:
+    c = T.table(spark, sf, "customer").select(F.col("c_nationkey").alias("repo_ord"), F.concat(F.lit("repo"), F.col("c_nationkey").cast("string")).alias("repo"), I.address_of("c_mktsegment").alias("address"))
+    return federation.shared_classes(c)
+
+
+@query(f"WITH {_RUNS} SELECT iteration, fitness > coalesce(max(fitness) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e308) AS improved FROM runs")
+def single_log_improvements(spark: Session, sf: str) -> Rows:
+    return stats.improvements(_runs(spark, sf)).select("iteration", "improved")
+
+
+@query("WITH e AS (SELECT event_id AS pos, event_type AS row, substr(sha256(event_type || 'x'), 1, 16) AS chain_hash FROM events) SELECT pos, substr(sha256(row || lag(chain_hash, 1, 'g') OVER (ORDER BY pos)), 1, 16) AS expected FROM e")
+def single_log_verify(spark: Session, sf: str) -> Rows:
+    e = T.table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("row"))
+    return chain.verify(e.withColumn("chain_hash", chain.row_hash_column(F.col("row"), F.lit("x"))), "g").select("pos", "expected")

@@ -46,15 +46,29 @@ def content_chain_hash(content, previous):
     return F.sha2(F.concat(content, previous), 256)
 
 
-def verify(rows: DataFrame, genesis: str, order: str = "pos", row: str = "row", stored: str = "chain_hash", log: str | None = None) -> DataFrame:
-    """Rows with expected and ok.  The stored hashes are inputs, so all rows are checked in parallel.
+#: Positions of a block of a single log; a block is ordered by one task.
+BLOCK_ROWS = 100_000
+
+
+def before(rows: DataFrame, value: str, first: str, order: str = "pos", log: str | None = None) -> DataFrame:
+    """`rows` with before: the value of the row before, `first` for the first of a log.
 
-    Logs of many runs are partitioned by `log`; a single log is ordered as a whole.
+    Logs of many runs are partitioned by `log`.  A single log is cut into blocks of positions, which are ordered by
+    themselves; a row for each block carries its last value over to the next one.
     """
-    w = (Window.partitionBy(log) if log else Window.partitionBy(F.lit(0))).orderBy(order)
-    before = F.lag(stored, 1, genesis).over(w)
-    out = rows.withColumn("expected", row_hash_column(F.col(row), before))
-    return out.withColumn("ok", F.col("expected") == F.col(stored))
+    if log:
+        return rows.withColumn("before", F.lag(value, 1, first).over(Window.partitionBy(log).orderBy(order)))
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / BLOCK_ROWS))
+    last = blocked.groupBy("__block").agg(F.max_by(value, order).alias("__last"))
+    carried = last.select("__block", F.lag("__last", 1, first).over(Window.orderBy("__block")).alias("__carried"))  # a row a block
+    near = blocked.withColumn("before", F.lag(value).over(Window.partitionBy("__block").orderBy(order)))
+    return near.join(carried, "__block").withColumn("before", F.coalesce("before", "__carried")).drop("__block", "__carried")
+
+
+def verify(rows: DataFrame, genesis: str, order: str = "pos", row: str = "row", stored: str = "chain_hash", log: str | None = None) -> DataFrame:
+    """Rows with expected and ok.  The stored hashes are inputs, so all rows are checked in parallel; positions are numbers."""
+    out = before(rows, stored, genesis, order, log).withColumn("expected", row_hash_column(F.col(row), F.col("before")))
+    return out.withColumn("ok", F.col("expected") == F.col(stored)).drop("before")
 
 
 def first_break(rows: DataFrame, genesis: str, **names: str) -> int | None:

@@ -25,6 +25,13 @@ def dependency_edges(packages: DataFrame) -> DataFrame:
     return got.select(*edge_columns(address_of("repo"), address_of("other"), "References", 1.0, provenance(actor="dependency"), F.array(address_of("repo"), address_of("other"))))
 
 
+def shared_classes(nodes: DataFrame) -> DataFrame:
+    """(address, repo_ord, repo) of addresses that several repositories hold: the classes whose pairs `shared_addresses` lists."""
+    held = nodes.select("repo_ord", "repo", "address").distinct()
+    several = held.groupBy("address").agg(F.count("*").alias("n")).where("n > 1").select("address")
+    return held.join(several, "address").select("address", "repo_ord", "repo")
+
+
 def shared_addresses(nodes: DataFrame) -> DataFrame:
     """(address, a, b): pairs of repositories, in order, that hold an address, from (repo_ord, repo, address)."""
     held = nodes.select("repo_ord", "repo", "address").distinct()

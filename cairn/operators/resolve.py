@@ -91,10 +91,21 @@ def resolve_file(files: DataFrame, wanted: str) -> str:
     return rows[0].path
 
 
-def siblings(edges: DataFrame) -> DataFrame:
-    """(node, sibling) under a common parent; equal keys meet in one join, doubles are kept."""
+def sibling_classes(edges: DataFrame) -> DataFrame:
+    """(parent, node, siblings): the children of every parent and how many others it has; a row a child, no pairs."""
+    c = edges.where("relation = 'Contains'").select(F.col("source").alias("parent"), F.col("target").alias("node"))
+    counts = c.groupBy("parent").agg((F.count("*") - 1).alias("siblings"))
+    return c.join(counts, "parent")
+
+
+def siblings(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, sibling) under a common parent, of the asked nodes (node) or of all; doubles are kept.
+
+    Of all nodes, a parent of n children gives n * (n - 1) rows: `sibling_classes` says the same in n.
+    """
     c = edges.where("relation = 'Contains'")
     a = c.select(F.col("source").alias("parent"), F.col("target").alias("node"))
+    a = a if nodes is None else a.join(nodes.select("node").distinct(), "node", "left_semi")
     b = c.select(F.col("source").alias("parent"), F.col("target").alias("sibling"))
     return a.join(b, "parent").where("node <> sibling").select("node", "sibling")
 

@@ -51,11 +51,25 @@ def parameter_correlations(runs: DataFrame, params: str = "params", fitness: str
     return each.groupBy("parameter").agg(pearson("__v", "__f").alias("correlation")).where("correlation is not null")
 
 
+#: Iterations of a block of a single log; a block is ordered by one task.
+BLOCK_ROWS = 100_000
+
+
 def improvements(runs: DataFrame, order: str = "iteration", fitness: str = "fitness", run: str | None = None) -> DataFrame:
-    """Rows with improved: over all earlier fitness of the same run (the first counts)."""
-    w = (Window.partitionBy(run) if run else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(fitness).over(w)
-    return runs.withColumn("improved", best.isNull() | (F.col(fitness) > best))
+    """Rows with improved: over all earlier fitness of the same run (the first counts).
+
+    A single run is cut into blocks of iterations; the best of all blocks before one, a row each, is carried into it.
+    """
+    earlier = lambda w: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if run:
+        best = F.max(fitness).over(earlier(Window.partitionBy(run)))
+        return runs.withColumn("improved", best.isNull() | (F.col(fitness) > best))
+    blocked = runs.withColumn("__block", F.floor(F.col(order) / BLOCK_ROWS))
+    tops = blocked.groupBy("__block").agg(F.max(fitness).alias("__top"))
+    carried = tops.select("__block", F.max("__top").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    near = blocked.withColumn("__near", F.max(fitness).over(earlier(Window.partitionBy("__block")))).join(carried, "__block")
+    best = F.greatest("__near", "__carried")  # nulls are skipped
+    return near.withColumn("improved", best.isNull() | (F.col(fitness) > best)).drop("__block", "__near", "__carried")
 
 
 def convergence_rate(runs: DataFrame, order: str = "iteration", fitness: str = "fitness", run: str | None = None) -> DataFrame:

@@ -173,3 +173,16 @@ def test_deep_sources_are_read():
     assert len(braces.typescript("p", b"function a() { " + b"if (x) " * 2000 + b"b(); }").out) > 2000
     assert len(python.extract("p", b"x = " + b"+".join([b"a"] * 4000)).out) == 4001
     assert [r[2:4] for r in python.extract("p", b"x = " + b"(" * 5000).out][0][0] == "failed"
+
+
+def test_blocks_of_a_single_log(spark, monkeypatch):
+    monkeypatch.setattr(chain, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(stats, "BLOCK_ROWS", 7)
+    rows = [(i, f"h{i}", float((i * 37) % 23)) for i in range(3, 60)]
+    df = spark.createDataFrame(rows, "pos bigint, chain_hash string, fitness double").repartition(4)
+    got = {r.pos: r.before for r in chain.before(df, "chain_hash", "g").collect()}
+    assert got == {i: "g" if i == 3 else f"h{i - 1}" for i, *_ in rows}
+    best, want = -1.0, {}
+    for i, _, f in rows:
+        want[i], best = f > best, max(best, f)
+    assert {r.pos: r.improved for r in stats.improvements(df, "pos").collect()} == want
