@@ -115,8 +115,8 @@ class Engine:
         return self.store.fused_with_beliefs()
 
     def spans(self, graph: Graph) -> DataFrame:
-        """(path, address, start_line, end_line) of the symbols that files contain."""
-        paths = files.source_files(self.spark, self.source_dir, self.exclude).select("path", file_address("path").alias("source"))
+        """(path, address, start_line, end_line) of the symbols that indexed files contain."""
+        paths = self.store.indexed_files().select("path", file_address("path").alias("source"))
         held = graph.edges.where("relation = 'Contains'").join(paths, "source").select("path", F.col("target").alias("address"))
         return held.join(graph.nodes.where("span is not null").select("address", "span.start_line", "span.end_line"), "address")
 

@@ -95,9 +95,9 @@ def flow(ir: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def entrypoints(ir: DataFrame) -> DataFrame:
-    """(name, address) of functions where processes start."""
-    e = ir.where("kind = 'entry'").select("path", "name")
-    return e.select("name", symbol_address("path", F.lit("function_item"), "name").alias("address"))
+    """(name, address) of functions where processes start, if the syntax overlay has them."""
+    e = ir.where("kind = 'entry'").select("name", symbol_address("path", F.lit("function_item"), "name").alias("address"))
+    return e.join(symbols(ir).select("address"), "address", "left_semi").select("name", "address")
 
 
 def derived_overlays(ir: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
