@@ -30,6 +30,8 @@ START, END = np.uint64(1), np.uint64(2)
 #: Tokens that a worker packs together, and bytes of text for each partition of the counts.
 LOT_TOKENS = 2_000_000
 PART_BYTES = 16 << 20
+#: Blobs that a lot is packed into at most; with more partitions than that a second exchange divides them further.
+COARSE = 2048
 #: A word with this share of the sampled tokens is hot: its pairs are spread by their second word too.
 HOT_SHARE = 1 / 1024
 HOT_SAMPLE = 0.02
@@ -188,6 +190,22 @@ def hot_words(train: DataFrame) -> np.ndarray:
     return np.array([r.h for r in rows if r.n >= total * HOT_SHARE], dtype=np.int64).view(np.uint64)
 
 
+def blobs_by(key: np.ndarray, pack, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct keys, and the packed rows (last axis) of each, in their order."""
+    o = np.argsort(key, kind="stable")
+    key, columns = key[o], [c[..., o] for c in columns]
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[cuts], [pack(*(c[..., a:z] for c in columns)) for a, z in zip(cuts, np.r_[cuts[1:], len(key)])]
+
+
+def blob_batch(keys: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def coarse(part: np.ndarray, parts: int) -> np.ndarray:
+    return part % COARSE if parts > COARSE else part
+
+
 def packed_pairs(train: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
     """(part, blob): the pairs of lots of texts, summed and packed per partition."""
 
@@ -195,14 +213,39 @@ def packed_pairs(train: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         for texts in lots(batches):
             w, counts = token_stream(texts)
             v, w, c = summed(before(w, counts), w, np.ones(len(w), np.int64))
-            part = partition_of(v, pair_hash(v, w), hot, parts)
-            o = np.argsort(part, kind="stable")
-            v, w, c, part = v[o], w[o], c[o], part[o]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[cuts[1:], len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array([pack(v[a:z], w[a:z], c[a:z]) for a, z in zip(cuts, ends)], pa.binary())], names=["part", "blob"])
+            yield blob_batch(*blobs_by(coarse(partition_of(v, pair_hash(v, w), hot, parts), parts), pack, v, w, c))
+
+    def divide(blobs: list[bytes]) -> pa.RecordBatch:
+        v, w, c = summed(*(np.concatenate(x) for x in zip(*map(unpack, blobs))))
+        return blob_batch(*blobs_by(partition_of(v, pair_hash(v, w), hot, parts), pack, v, w, c))
+
+    return refined(train.mapInArrow(run, "part int, blob binary"), parts, divide)
+
+
+def refined(rows: DataFrame, parts: int, divide) -> DataFrame:
+    """Blobs of coarse partitions divided into those of all partitions, so that blobs grow with the input and not its square.
 
-    return train.mapInArrow(run, "part int, blob binary")
+    Blobs are gathered up to a lot's size before they are divided; rows with a negative number pass through.
+    """
+    if parts <= COARSE:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            through = b.column("part").to_numpy() < 0
+            if through.any():
+                yield b.filter(pa.array(through))
+            for blob in b.filter(pa.array(~through)).column("blob").to_pylist():
+                held.append(blob)
+                size += len(blob)
+                if size > 16 * LOT_TOKENS:
+                    yield divide(held)
+                    held, size = [], 0
+        if held:
+            yield divide(held)
+
+    return rows.repartitionById(COARSE, "part").mapInArrow(run, "part int, blob binary")
 
 
 def by_part(rows: DataFrame, parts: int) -> DataFrame:
@@ -263,14 +306,29 @@ def stored_pairs(packed: DataFrame, folder: str, parts: int) -> DataFrame:
             at = np.searchsorted(words, w[ow][cw])
             columns[0, at], columns[1, at] = np.add.reduceat(c[ow], cw), np.diff(np.r_[cw, len(w)])
             columns[2:, np.searchsorted(words, v[cuts])] = follow
-            to = ((splitmix(words) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            ot = np.argsort(to, kind="stable")
-            ct = np.flatnonzero(np.r_[True, to[ot][1:] != to[ot][:-1]])
-            blobs = [pack_words(words[ot[a:z]], columns[:, ot[a:z]]) for a, z in zip(ct, np.r_[ct[1:], len(ot)])]
+            to, blobs = blobs_by(coarse(word_part(words, parts), parts), pack_words, words, columns)
             counts = np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, to[ot][ct]].astype(np.int32)), pa.array([counts.tobytes(), *blobs], pa.binary())], names=["part", "blob"])
+            yield blob_batch(np.r_[-1, to], [counts.tobytes(), *blobs])
+
+    def divide(blobs: list[bytes]) -> pa.RecordBatch:
+        words, sums = summed_words(blobs)
+        return blob_batch(*blobs_by(word_part(words, parts), pack_words, words, sums))
+
+    return refined(by_part(packed, parts).mapInArrow(run, "part int, blob binary"), parts, divide)
+
+
+def word_part(words: np.ndarray, parts: int) -> np.ndarray:
+    return ((splitmix(words) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
 
-    return by_part(packed, parts).mapInArrow(run, "part int, blob binary")
+def summed_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of packed word statistics, in order, with their summed columns."""
+    h, columns = (np.concatenate(x, axis=-1) for x in zip(*map(unpack_words, blobs)))
+    words, inverse = np.unique(h, return_inverse=True)
+    sums = np.zeros((5, len(words)), np.int64)
+    for k in range(5):
+        np.add.at(sums[k], inverse, columns[k])
+    return words, sums
 
 
 def stored_words(statistics: DataFrame, folder: str, parts: int) -> DataFrame:
@@ -282,11 +340,7 @@ def stored_words(statistics: DataFrame, folder: str, parts: int) -> DataFrame:
                 total = sum(np.frombuffer(x, np.int64) for x in blobs)
                 row = [0, 0, 0, *total[:4].tolist(), int(total[4]), 0, 0, 0, 0]
             else:
-                h, columns = (np.concatenate(x, axis=-1) for x in zip(*map(unpack_words, blobs)))
-                words, inverse = np.unique(h, return_inverse=True)
-                sums = np.zeros((5, len(words)), np.int64)
-                for k in range(5):
-                    np.add.at(sums[k], inverse, columns[k])
+                words, sums = summed_words(blobs)
                 write_arrays(folder, word_file(part), [np.array([len(words)], np.int64), words, *sums.astype(np.float64)])
                 real = sums[0] > 0
                 row = [int(sums[0].sum()), int(real.sum()), int(sums[0][words == END].sum()), 0, 0, 0, 0, 0, *[int((sums[1] == k).sum()) for k in (1, 2, 3, 4)]]
@@ -374,7 +428,7 @@ class Model:
 
     def word_stats(self, h: np.ndarray) -> np.ndarray:
         """(5, n) statistics of words that are sorted and distinct; zeros for unknown ones."""
-        part = ((splitmix(h) >> np.uint64(20)) % np.uint64(self.parts)).astype(np.int64)
+        part = word_part(h, self.parts)
         out = np.zeros((5, len(h)))
         for p in np.unique(part).tolist():
             mine = np.flatnonzero(part == p)
@@ -416,8 +470,8 @@ def fit(train: DataFrame, text_col: str = "text") -> Model:
     hot = hot_words(texts)
     folder = f"{ensure_checkpoint_dir(train.sparkSession)}/lm-{uuid.uuid4().hex}"
     words = stored_words(stored_pairs(packed_pairs(texts, hot, parts), folder, parts), folder, parts)
-    rows = [r.totals for r in words.collect()]  # one for each partition
-    t = np.array(rows, dtype=np.int64).reshape(-1, 12).sum(axis=0).tolist()
+    sums = words.agg(*[F.sum(F.col("totals")[k]).alias(f"t{k}") for k in range(12)]).first()
+    t = [int(x or 0) for x in sums]
     more = t[1] - t[8] - t[9]
     return Model(folder, parts, hot, t[0], t[1], t[2], t[7], discounts(t[3:7]), discounts(t[8:12]), np.array([t[8], t[9], more], float))
 

@@ -86,9 +86,10 @@ def plain_model(train):
     return p, counts
 
 
-@pytest.mark.parametrize("part_bytes", [lm.PART_BYTES, 300])
-def test_kneser_ney_equals_a_plain_model(spark, monkeypatch, part_bytes):
+@pytest.mark.parametrize("part_bytes, coarse", [(lm.PART_BYTES, lm.COARSE), (300, lm.COARSE), (300, 5)])
+def test_kneser_ney_equals_a_plain_model(spark, monkeypatch, part_bytes, coarse):
     monkeypatch.setattr(lm, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(lm, "COARSE", coarse)  # fewer than the partitions: a second exchange divides them
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
     texts = [" ".join(vocabulary[min(int(rng.expovariate(0.12)), 39)] for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "", "Ünseen\x0bWORD w1"]
