@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,22 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in out.collect()} == left[3] and "ids" in out.columns
 
 
+def test_stages_on_odd_tables(spark, folder):
+    """Empty tables, repeated rows, null ids and columns whose names the operators use themselves."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    clash = ("same", "hub", "route", "held", "grams", "keys", "size", "root", "lead", "known", "score", "spans", "decoded")
+    rows = docs.where("doc_id in (1, 100, 101, 201)").unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("bigint")))
+    odd = rows.select("*", *[F.lit("x").alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns, name
+        odd = spark.createDataFrame(out.collect(), out.schema)
+    assert sorted(str(r.doc_id) for r in odd.collect()) == ["1", "1", "100", "201", "None"]
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, folder).count() == 5
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_registered(spark):
     import __spark_entry__
