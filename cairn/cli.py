@@ -8,7 +8,7 @@ import os
 import sys
 
 COMMANDS = {
-    "index": {"--force": {"action": "store_true"}},
+    "index": {"--force": {"action": "store_true"}, "--overlays": {"action": "store_true"}},
     "query": {"--file": {"required": True}, "--line": {"type": int, "required": True}, "--direction": {"default": "downstream"}, "--top": {"type": int, "default": 20}},
     "status": {},
     "init": {},
@@ -97,7 +97,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         serve(e, sys.stdin, sys.stdout)
         return 0
     do = {
-        "index": lambda: e.index(a.force),
+        "index": lambda: e.index(a.force) | ({"overlays": e.derive()} if a.overlays else {}),
         "init": lambda: init(e),
         "query": lambda: e.impact(a.file, a.line, a.direction, a.top),
         "status": e.status,

@@ -74,8 +74,8 @@ class Engine:
         ir = self.read_rows(source)
         graph = pipeline.fused(source, ir)
         self.store.write(FUSED, graph.nodes, graph.edges)
-        for name, (nodes, edges) in pipeline.derived_overlays(ir).items():
-            self.store.write(name, nodes, edges)
+        for name in pipeline.DERIVED:  # of the index before; `derive` builds them anew
+            self.store.drop(name)
         meta = self.store.save_meta(files.file_hashes(source), self.store.read(FUSED))
         return {"status": "indexed", **meta, "failed": [r.asDict() for r in pipeline.failures(ir).orderBy("path").limit(100).collect()]}
 
@@ -83,6 +83,15 @@ class Engine:
         """What readers find in the sources; files that were read before come from the parse cache."""
         return cut(pipeline.extract_cached(source, FileCache(self.spark, self.store_dir)))
 
+    def derive(self) -> list[str]:
+        """Store the overlays that follow from the sources' rows, processes and program dependence, if they aren't yet."""
+        missing = [name for name in pipeline.DERIVED if name not in self.store.overlays()]
+        if missing:
+            built = pipeline.derived_overlays(self.read_rows(self.sources()))
+            for name in missing:
+                self.store.write(name, *built[name])
+        return list(pipeline.DERIVED)
+
     def add_trace(self, path: str) -> int:
         """Store the runtime overlay of a trace; returns its number of edges."""
         symbols = pipeline.symbols(self.read_rows(self.sources()))
@@ -155,6 +164,7 @@ class Engine:
         if file and line.isdigit():
             starts = [self.locate(g, file, int(line))]
         else:
+            self.derive()
             parts = self.store.read_or_empty("process").edges.where((F.col("target") == address(f"process:{entrypoint}")) & (F.col("confidence") == 1.0))
             starts = [r["source"] for r in parts.select("source").distinct().collect()]  # functions of that name
         if not starts:

@@ -100,6 +100,10 @@ def entrypoints(ir: DataFrame) -> DataFrame:
     return e.join(symbols(ir).select("address"), "address", "left_semi").select("name", "address")
 
 
+#: Overlays that follow from what readers found.
+DERIVED = ("process", "pdg")
+
+
 def derived_overlays(ir: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Nodes and edges of the overlays that follow from others: processes, and program dependence."""
     flow_nodes, flows = flow(ir)

@@ -54,6 +54,8 @@ class StoreBackend(Protocol):
 
     def read(self, overlay: str) -> Graph | None: ...
 
+    def drop(self, overlay: str) -> None: ...
+
     def overlays(self) -> list[str]: ...
 
 
@@ -78,6 +80,11 @@ class Store:
         nodes.select([f.name for f in NODES]).write.mode("append").parquet(self._path("nodes", overlay))
         edges.select([f.name for f in EDGES]).write.mode("append").parquet(self._path("edges", overlay))
 
+    def drop(self, overlay: str) -> None:
+        for table in ("nodes", "edges"):
+            fs, p = _file_system(self.spark, self._path(table, overlay))
+            fs.delete(p, True)
+
     def read(self, overlay: str) -> Graph | None:
         """The overlay's graph, or None if it was never written."""
         if not self._exists(self._path("nodes", overlay)):

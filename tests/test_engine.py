@@ -44,8 +44,8 @@ def engine(spark, tree, tmp_path_factory):
 def test_index_is_fresh_and_leaves_build_folders_out(engine):
     assert engine.index()["status"] == "fresh"
     assert engine.store.load_meta()["file_count"] == 4
-    assert [o["overlay"] for o in engine.status()["overlays"]] == ["custom_fused", "pdg"]  # overlays without rows don't show
-    assert engine.store.overlays() == ["custom_fused", "pdg", "process"]
+    assert [o["overlay"] for o in engine.status()["overlays"]] == ["custom_fused"]
+    assert engine.derive() == ["process", "pdg"] and engine.store.overlays() == ["custom_fused", "pdg", "process"]
 
 
 def test_calls_stay_in_their_file(engine):
@@ -145,6 +145,7 @@ def test_overlays_and_embeddings_are_stored(engine, tmp_path):
     assert engine.store.read_embeddings().count() == 0
     (tmp_path / "e.json").write_text(json.dumps([{"address": "a", "vector": [1, 2], "model": "m"}]))
     assert engine.add_embeddings(str(tmp_path / "e.json")) == 1 and engine.store.read_embeddings().first().model == "m"
+    engine.derive()
     overlay = StoredOverlay(engine.store, "pdg")
     assert overlay.edges().where("relation = 'DataFlow'").count() >= 1 and overlay.nodes().count() > 0
 
