@@ -16,7 +16,7 @@ from cairn.functions import confidence as C
 from cairn.functions import identity as I
 from cairn.operators import chain, community, evidence, experiment, federation, overlays, resolve, stats
 from cairn.operators.graph import Graph, top_scores
-from cairn.plans.checkpoint import cut
+from cairn.plans.checkpoint import cut_unsized
 from cairn.registry import query
 from cairn.schema import edge_columns, provenance
 
@@ -26,7 +26,7 @@ _PLACE = ("path", "start_byte", "end_byte")
 
 
 def _ir(spark: Session, sf: str) -> DataFrame:
-    return cut(pipeline.extract(S.files(spark, sf)))
+    return cut_unsized(pipeline.extract(S.files(spark, sf)))
 
 
 # Readers

@@ -16,7 +16,7 @@ from cairn.functions.identity import Direction, address, file_address, node_labe
 from cairn.operators import belief, changes, export, federation, governance, overlays, resolve, stats
 from cairn.operators.graph import Graph, Query, top_scores
 from cairn.operators import experiment as exp
-from cairn.plans.checkpoint import cut
+from cairn.plans.checkpoint import cut, cut_unsized
 from cairn.plans.fixpoint import kept
 from cairn.sources import config, files, git, logs
 from cairn.sources.store import FileCache, Store, add_beliefs, counts, load_json, save_json
@@ -81,7 +81,7 @@ class Engine:
 
     def read_rows(self, source: DataFrame) -> DataFrame:
         """What readers find in the sources; files that were read before come from the parse cache."""
-        return cut(pipeline.extract_cached(source, FileCache(self.spark, self.store_dir)))
+        return cut_unsized(pipeline.extract_cached(source, FileCache(self.spark, self.store_dir)))
 
     def derive(self) -> list[str]:
         """Store the overlays that follow from the sources' rows, processes and program dependence, if they aren't yet."""

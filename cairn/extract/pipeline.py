@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn.functions.identity import file_address, symbol_address
 from cairn.operators import fusion, overlays, resolve
 from cairn.operators.graph import Graph
-from cairn.plans.checkpoint import cut
+from cairn.plans.checkpoint import cut, cut_unsized
 from cairn.schema import edge_columns, node_columns, provenance
 from cairn.sources.store import FileCache
 
@@ -97,7 +97,7 @@ def flow(ir: DataFrame) -> tuple[DataFrame, DataFrame]:
 def entrypoints(ir: DataFrame) -> DataFrame:
     """(name, address) of functions where processes start, if the syntax overlay has them."""
     e = ir.where("kind = 'entry'").select("name", symbol_address("path", F.lit("function_item"), "name").alias("address"))
-    return e.join(symbols(ir).select("address"), "address", "left_semi").select("name", "address")
+    return e.join(symbols(ir).select("address").hint("merge"), "address", "left_semi").select("name", "address")
 
 
 #: Overlays that follow from what readers found.
@@ -112,7 +112,7 @@ def derived_overlays(ir: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
 
 def index(files: DataFrame, cache: FileCache | None = None) -> Graph:
     """The fused graph of a table of files: one extraction pass, joins, and one shuffle to fuse."""
-    return fused(files, cut(extract_cached(files, cache) if cache else extract(files)))
+    return fused(files, cut_unsized(extract_cached(files, cache) if cache else extract(files)))
 
 
 def fused(files: DataFrame, ir: DataFrame) -> Graph:

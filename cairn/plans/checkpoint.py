@@ -25,6 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_unsized(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint that doesn't carry Spark's estimate of its size on.
+
+    What Python or an explode makes of small rows is estimated by the input's size, and a join would send far more than
+    estimated through the driver. Without an estimate a join shuffles, and is broadcast only where that proved small.
+    """
+    session, plan = df.sparkSession, cut(df)._jdf.queryExecution().logical()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.rdd(), plan.schema(), False), session)
+
+
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """A reliable checkpoint and its number of rows, counted in the same job."""
     seen = Observation()
