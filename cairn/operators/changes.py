@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import Direction
+from cairn.plans.checkpoint import cut
+from cairn.plans.fixpoint import kept, laid
 
 from .graph import Graph
 from .resolve import blocks
@@ -46,6 +48,9 @@ def affected_edges(graph: Graph, changed: DataFrame) -> DataFrame:
 
 
 def detect_changes(graph: Graph, hunks: DataFrame, contained: DataFrame | None = None) -> ChangeSet:
-    changed = changed_nodes(graph.nodes, hunks, contained)
+    """What changed and what that reaches; changed nodes and edges are computed once for both directions."""
+    changed = cut(changed_nodes(graph.nodes, hunks, contained))
     seeds = changed.select(F.col("address").alias("node"))
-    return ChangeSet(changed, affected_edges(graph, changed), graph.impact(seeds, Direction.DOWNSTREAM), graph.staleness(seeds))
+    with kept(laid(graph.edges.select("source", "target", "confidence"), "source")) as edges:
+        held = Graph(graph.nodes, edges, held=True)
+        return ChangeSet(changed, affected_edges(graph, changed), held.impact(seeds, Direction.DOWNSTREAM), held.staleness(seeds))

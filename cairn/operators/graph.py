@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import Direction
-from cairn.plans.fixpoint import best_products, breadth_first, longest_levels, with_paths
+from cairn.plans.checkpoint import cut_counted
+from cairn.plans.fixpoint import best_products, breadth_first, every_round, frontier, longest_levels, with_paths
 
 
 @dataclass(frozen=True)
@@ -30,10 +31,10 @@ class QueryResult:
 
 
 class Graph:
-    """`nodes` and `edges` as in cairn.schema; extra columns are carried."""
+    """`nodes` and `edges` as in cairn.schema; extra columns are carried.  `held` tells that the caller keeps the edges laid by source."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame, edges: DataFrame, held: bool = False):
+        self.nodes, self.edges, self.held = nodes, edges, held
 
     def union(self, other: Graph) -> Graph:
         """Both graphs' rows, without removing doubles."""
@@ -94,7 +95,7 @@ class Graph:
         """(node, score): seeds at 1, others by the best product of confidences; Both takes the larger side."""
         start = seeds.select(F.lit("").alias("root"), F.col("node"), F.lit(1.0).alias("score"))
         sides = [Direction.DOWNSTREAM, Direction.UPSTREAM] if direction is Direction.BOTH else [direction]
-        out = [best_products(self.oriented(d), start).select("node", "score") for d in sides]
+        out = [best_products(self.oriented(d), start, held_edges=self.held and d is Direction.DOWNSTREAM).select("node", "score") for d in sides]
         return out[0] if len(out) == 1 else out[0].unionByName(out[1]).groupBy("node").agg(F.max("score").alias("score"))
 
     def staleness(self, stale: DataFrame) -> DataFrame:
@@ -108,9 +109,10 @@ class Graph:
 
     def topological(self, roots: DataFrame, direction: Direction = Direction.DOWNSTREAM) -> DataFrame:
         """(node, level) of what the roots reach; roots without any edge are left out."""
-        edges = self.oriented(direction).select("src", "dst")
-        ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-        return longest_levels(edges, roots.join(ends, "node", "left_semi"))
+        start, rows = cut_counted(roots.select("node").distinct())
+        with every_round(self.oriented(direction).select("src", "dst"), "src") as edges:
+            ends = [edges.select(F.col(end).alias("node")).join(frontier(start, rows), "node", "left_semi") for end in ("src", "dst")]
+            return longest_levels(edges, ends[0].unionByName(ends[1]).distinct(), held_edges=True)
 
 
 def top_scores(scores: DataFrame, n: int, least: float = 0.01) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.extract import local, pipeline
-from cairn.operators import overlays
+from cairn.operators import changes, overlays
+from cairn.operators.graph import Graph
+from cairn.plans import fixpoint
 from cairn.plans.checkpoint import cut, cut_unsized
 
 
@@ -26,3 +28,45 @@ def test_joins_of_extracted_rows_are_not_planned_as_broadcasts(spark):
     for df in (pipeline.semantic(ir), local.file_graphs(files, ir).edges, overlays.call_graph(pipeline.semantic(ir)), pipeline.index(files).edges, pipeline.entrypoints(pipeline.extract(files))):
         assert "Join" in plan(df) and "BroadcastHashJoin" not in plan(df)
     assert pipeline.semantic(ir).where("relation = 'Calls'").count() == 40
+
+
+def test_rounds_do_not_shuffle_edges_again(spark, monkeypatch):
+    """A frontier too large to be broadcast is dealt to where the edges are; they stay."""
+    monkeypatch.setattr(fixpoint, "BROADCAST_ROWS", 0)
+    edges = spark.range(300).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"), F.lit(0.5).alias("c"))
+    with fixpoint.every_round(edges.select(F.col("src").alias("node"), "dst", "c"), "node") as steps:
+        front = cut(spark.range(50).select(F.col("id").cast("string").alias("node")))
+        rows = front.join(steps.hint("merge"), "node")
+        assert rows.count() == 50
+        text = plan(rows).split("InMemoryRelation")[0]
+        assert text.count("Exchange hashpartitioning(node") == 1, text
+    got = fixpoint.best_products(edges, spark.createDataFrame([("", "297", 1.0)], "root string, node string, score double"))
+    assert {r.node: r.score for r in got.collect()} == {"297": 1.0, "298": 0.5, "299": 0.25, "300": 0.125}
+
+
+def test_levels_of_roots_with_and_without_edges(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "BROADCAST_ROWS", 0)
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("x", "a")], "source string, target string").select("source", "target", F.lit("Calls").alias("relation"), F.lit(1.0).alias("confidence"))
+    g = Graph(None, e)
+    levels = {r.node: r.level for r in g.topological(g.roots("a", "d", "a", "lonely")).collect()}
+    assert levels == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_both_directions_of_a_change_use_edges_once(spark, monkeypatch):
+    """Impact and staleness read the edges' source once, not once each."""
+    seen = spark.sparkContext.accumulator(0)
+    e = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.5)], "source string, target string, confidence double").withColumn("relation", F.lit("Calls"))
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    e = e.mapInArrow(counting, e.schema)
+    span = F.struct(*[F.lit(1).cast("bigint").alias(n) for n in ("start_byte", "end_byte", "start_line", "end_line")])
+    nodes = spark.createDataFrame([("b",)], "address string").withColumn("span", span)
+    hunks = spark.createDataFrame([("f", 1, 1)], "path string, new_start bigint, new_lines bigint")
+    got = changes.detect_changes(Graph(nodes, e), hunks)
+    assert {r.node: r.score for r in got.impact.collect()} == {"b": 1.0, "c": 0.5}
+    assert {r.node: r.score for r in got.staleness.collect()} == {"b": 1.0, "a": 0.5}
+    assert seen.value == 2
