@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.extract import local, pipeline
-from cairn.operators import changes, overlays
+from cairn.operators import changes, fusion, overlays, resolve
 from cairn.operators.graph import Graph
 from cairn.plans import fixpoint
 from cairn.plans.checkpoint import cut, cut_unsized
+from cairn.schema import provenance
 
 
 def plan(df):
@@ -70,3 +71,23 @@ def test_both_directions_of_a_change_use_edges_once(spark, monkeypatch):
     assert {r.node: r.score for r in got.impact.collect()} == {"b": 1.0, "c": 0.5}
     assert {r.node: r.score for r in got.staleness.collect()} == {"b": 1.0, "a": 0.5}
     assert seen.value == 2
+
+
+def test_large_parents_are_divided(spark, monkeypatch):
+    """No key of the join holds more than about a block of either side, and no pair or double is lost."""
+    monkeypatch.setattr(resolve, "SIBLING_BLOCK", 8)
+    e = spark.createDataFrame([("p", f"c{i % 60}") for i in range(64)] + [("q", "x"), ("q", "y"), ("r", "z"), (None, "u"), ("p", None)], "source string, target string").withColumn("relation", F.lit("Contains"))
+    c = [f"c{i % 60}" for i in range(64)]
+    want = [(x, y) for x in c for y in c if x != y] + [("x", "y"), ("y", "x")]
+    got = resolve.siblings(e)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "parent" in plan(got) and plan(got).count("pmod") >= 2
+    assert sorted(tuple(r) for r in resolve.siblings(e, spark.createDataFrame([("x",)], "node string")).collect()) == [("x", "y")]
+
+
+def test_fused_edges_are_shuffled_without_buffers(spark):
+    e = spark.createDataFrame([("a", "b", "Calls", 0.5, 1), ("a", "b", "Calls", 0.5, 0), ("a", "c", "Calls", 0.3, 0)], "source string, target string, relation string, confidence double, overlay_ord int")
+    fused = fusion.fuse_edges(e.select("*", provenance().alias("provenance"), F.array(F.col("overlay_ord").cast("string")).alias("evidence")))
+    text = plan(fused)
+    assert text.count("Exchange") == 1 and text.index("partial_product") < text.index("Exchange")  # printed from the top: both steps follow the exchange
+    assert {(r.target, round(r.confidence, 6), r.provenance.source, tuple(r.evidence)) for r in fused.collect()} == {("b", 0.75, "Consolidated", ("0", "1")), ("c", 0.3, "ToolOutput", ("0",))}
