@@ -91,3 +91,12 @@ def test_fused_edges_are_shuffled_without_buffers(spark):
     text = plan(fused)
     assert text.count("Exchange") == 1 and text.index("partial_product") < text.index("Exchange")  # printed from the top: both steps follow the exchange
     assert {(r.target, round(r.confidence, 6), r.provenance.source, tuple(r.evidence)) for r in fused.collect()} == {("b", 0.75, "Consolidated", ("0", "1")), ("c", 0.3, "ToolOutput", ("0",))}
+
+
+def test_equal_nodes_go_before_the_choice_sorts(spark):
+    n = spark.createDataFrame([("a", "Calls", 1), ("a", "Contains", 0), ("a", "Calls", 1), ("b", None, 2)], "address string, relation string, overlay_ord int")
+    one = fusion.dedup_nodes(n)
+    assert plan(one).count(" HashAggregate(keys=[address") + plan(one).count("- HashAggregate(keys=[address") >= 2
+    assert sorted((r.address, r.relation) for r in one.collect()) == [("a", "Contains"), ("b", None)]
+    mapped = fusion.dedup_nodes(n.withColumn("m", F.create_map(F.lit("k"), "overlay_ord")))
+    assert sorted((r.address, r.m["k"]) for r in mapped.collect()) == [("a", 0), ("b", 2)]
